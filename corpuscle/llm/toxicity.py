@@ -50,7 +50,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-5, least_docs: int = 4, least_z: float = 3.5) -> np.ndarray:
+def fit(texts: pa.Array, labels: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-5, least_docs: int = 4, least_z: float = 4.0) -> np.ndarray:
     """Weights, the bias last, by Adam on the noisy-or likelihood. A feature has a weight only if
     ``least_docs`` documents have it and its share of toxic documents differs from that of
     others by ``least_z`` standard errors."""
