@@ -87,16 +87,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", content_key("text"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit (words inside any occurrence of a window),
-    n_items, items_sha256 (of the ids of items with occurring windows, sorted as strings,
-    comma-joined), contaminated (n_hit > 0), items.
-
-    Null and empty texts have no words; items without words have no window; an item without id
-    counts for n_hit alone; items of equal id are one. Repeated documents each have their row.
-    Without documents the result is empty, without items nothing is contaminated.
-    """
-    docs = _keyed(docs, id_col, text_col)
+def hits(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs: (doc_id, text, key). One row per text with an occurring window: key, n_hit, items."""
     index = build(docs.where("text is not null").select("key", "text"), items, length)
     phrases = within_bounds(index.phrases.select("pid", "phrase", "len", "items"), "phrase")
     found = index.candidates().join(phrases, "pid").groupBy("key").agg(F.collect_list(F.struct("start", "len", "phrase", "items")).alias("c"))
@@ -105,16 +97,35 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, id_co
     heads = docs.select("key", "doc_id").join(found.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id"))
     found = found.join(heads, "key").withColumnRenamed("key", "_key")
     texts = docs.join(found, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", word_list(F.col("text")).alias("w"), "c")
-    hits = texts.select("key", F.filter("c", lambda x: F.array_join(F.slice(F.col("w"), x["start"] + 1, x["len"]), " ") == x["phrase"]).alias("c")).where(F.size("c") > 0)
+    exact = texts.select("key", F.filter("c", lambda x: F.array_join(F.slice(F.col("w"), x["start"] + 1, x["len"]), " ") == x["phrase"]).alias("c")).where(F.size("c") > 0)
     places = F.flatten(F.transform("c", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("c", lambda x: x["items"]))))
-    hits = hits.select(F.col("key").alias("_key"), F.size(F.array_distinct(places)).cast("long").alias("n_hit"), ids.alias("items")).dropDuplicates(["_key"])
-    hits = staged(hits, "decon-hits")
-    out = docs.select("doc_id", "key", word_count(F.col("text")).alias("n_words")).join(hits, F.col("key") == F.col("_key"), "left")
+    exact = exact.select("key", F.size(F.array_distinct(places)).cast("long").alias("n_hit"), ids.alias("items")).dropDuplicates(["key"])
+    return staged(exact, "decon-hits")
+
+
+def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit (words inside any occurrence of a window),
+    n_items, items_sha256 (of the ids of items with occurring windows, sorted as strings,
+    comma-joined), contaminated (n_hit > 0), items.
+
+    Null and empty texts have no words; items without words have no window; an item without id
+    counts for n_hit alone; items of equal id are one. Repeated documents each have their row.
+    Without documents the result is empty, without items nothing is contaminated.
+    """
+    docs = _keyed(docs, id_col, text_col)
+    found = hits(docs, items, length).withColumnRenamed("key", "_key")
+    out = docs.select("doc_id", "key", word_count(F.col("text")).alias("n_words")).join(found, F.col("key") == F.col("_key"), "left")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
 
 
+def clean(docs: DataFrame, items: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that hold a window of an item; columns as they are."""
+    found = hits(_keyed(docs, id_col, text_col), items, length).select(F.col("key").alias("_key"))
+    return docs.join(found, content_key(text_col) == F.col("_key"), "left_anti")
+
+
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 5, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, apart): a window's two rarest terms stand in the document as in the
     window, but for ``apart`` words more or fewer between them (0: in place), ``slop`` at most.

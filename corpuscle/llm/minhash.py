@@ -200,7 +200,8 @@ def verify(pairs: DataFrame, texts: DataFrame, held, threshold: float) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, idf_strength: float = 0.1, hubs: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, class_rows, kept.
+    """One row per row of ``docs``: doc_id, class_id, class_rows, kept, node (16 bytes that stand
+    for the text; null without words).
 
     A class is a connected component of links of weighted Jaccard similarity ``threshold`` or
     more; equal texts are one node. class_id is the smallest id of the class, class_rows its
@@ -253,8 +254,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, idf_strength: float
     classes = linked.join(classes, "comp").select(F.col("node").alias("_node"), "class_id", "class_rows")
     out = docs.select("doc_id", "node").join(classes, F.col("node") == F.col("_node"), "left")
     class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"), "node")
+
+
+def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each class of near duplicates, that of the smallest id; columns as
+    they are. Texts without words stay."""
+    keep = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept and node is not null").select(F.col("doc_id").alias("_k_id"), F.col("node").alias("_k_node")).distinct()
+    named = docs.withColumns({"_u_id": F.col(id_col), "_u_node": F.when(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), content_key(text_col))})
+    kept = named.join(keep, F.col("_u_id").eqNullSafe(F.col("_k_id")) & (F.col("_u_node") == F.col("_k_node")))
+    # rows that repeat both id and text: one of them
+    kept = kept.withColumn("_u_n", F.row_number().over(W.partitionBy("_u_id", "_u_node").orderBy(F.lit(0)))).where("_u_n = 1")
+    return kept.select(*docs.columns).unionAll(named.where("_u_node is null").select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node")

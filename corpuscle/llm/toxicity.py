@@ -104,14 +104,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str
     return np.array(got[0]["w"]) if got else fit(pa.array([], pa.string()), np.zeros(0))
 
 
-def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with score, predicted (score >= threshold) and sentences: start and end (UTF-8
     bytes, of the words) and score of those that pass the threshold by themselves.
 
-    A null text, or one without words, has score 0. Other columns are carried along; they must
-    not be called score, predicted or sentences.
+    A null text, or one without words, has score 0. Other columns are carried along; the new
+    columns' names start with ``prefix``, and a column of ``docs`` of the same name gives way.
     """
     held = docs.sparkSession.sparkContext.broadcast(weights)
+    added = [f"{prefix}{n}" for n in ("score", "predicted", "sentences")]
+    docs = docs.drop(*[n for n in added if n != text_col])
     names = docs.columns
     at = names.index(text_col)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -135,10 +137,10 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, id_col:
                 for i in np.flatnonzero(p >= threshold):
                     r = row[i]
                     rows[w.first + r].append({"start": int(w.start[first[i]] - w.row_bytes[r]), "end": int(w.end[last[i]] - w.row_bytes[r]), "score": float(p[i])})
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array((out >= threshold).astype(np.int32)), pa.array(rows, spans)], names=[*names, "score", "predicted", "sentences"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array((out >= threshold).astype(np.int32)), pa.array(rows, spans)], names=[*names, *added])
 
     kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int, sentences array<struct<start:bigint,end:bigint,score:double>>")
+    return docs.mapInArrow(run, f"{kinds}, {added[0]} double, {added[1]} int, {added[2]} array<struct<start:bigint,end:bigint,score:double>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
