@@ -152,8 +152,8 @@ def docx_blocks(files: DataFrame) -> DataFrame:
                     blocks, _, links = docx_parts(content)
                     rows += [{"path": path, **x, "links": links, "error": None} for x in blocks]
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
-                    rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=cols)
+                    rows.append({"path": path, "links": [], "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(rows, columns=cols).astype({"ord": "Int32", "y0": "Float64", "font_size": "Float64", "bold": "boolean", "in_table": "boolean"})
 
     return files.select("path", "content").mapInPandas(run, schema)
 
