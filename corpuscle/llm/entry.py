@@ -17,4 +17,9 @@ QUERIES = {
     "op10_mixing": mixing.query,
 }
 
-SQL = {"op6_benchmark_decontamination": decontamination.SQL}
+SQL = {
+    "op1_embedding_near_dedup": multiindex.SQL,
+    "op2_suffix_array_dedup": suffixes.SQL,
+    "op3_secret_scan": secretscan.SQL,
+    "op6_benchmark_decontamination": decontamination.SQL,
+}

@@ -104,3 +104,20 @@ def report(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES)
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(*scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _spans_sql(nth: int, r: Rule) -> str:
+    """A rule's matches by place: what the pattern splits the text into, added up. The place of
+    the group that is measured is told by the pattern itself."""
+    p = ("(?i)" if r.flags & re.I else "") + r.pattern.replace("'", "''")
+    return f"""SELECT doc_id, {nth} AS nth, '{r.kind}' AS kind, i, list_sum(list_transform(parts[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(found[1 : i - 1], lambda x: length(x))), 0)::BIGINT AS a, length(found[i]) AS n, length(measured[i]) AS m
+  FROM (SELECT doc_id, parts, found, measured, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(t, '{p}') AS parts, regexp_extract_all(t, '{p}') AS found, regexp_extract_all(t, '{p}', {r.group}) AS measured FROM d)) WHERE length(measured[i]) >= {r.least}"""
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_spans_sql(i, r) for i, r in enumerate(RULES))}),
+s AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, nth) FILTER (nth < {len(BASE)}) AS base,
+  string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, nth) AS spans, count(*) AS n_spans FROM f GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN s USING (doc_id)
+"""

@@ -8,8 +8,8 @@ key of that suffix. Suffixes are ordered by a 64-bit fingerprint of those words;
 agree are compared by the smallest and the greatest text among them, which Spark computes with a
 map-side combine instead of in a sorted run, so that a passage that a third of all documents
 share does not meet in one task. Suffixes with a neighbour in another text are then extended to
-the left and to the right: every LENGTH-word run that they are the minimiser of is compared, as
-one block if all of it agrees, else run by run. The spans are exactly the words inside runs that
+the left and to the right: every LENGTH-word run that they are the minimiser of is looked up,
+blocks of such runs that agree as a whole once for all texts that have them. The spans are exactly the words inside runs that
 repeat in another text (up to collisions of 64-bit hashes).
 """
 
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import content_key, staged
@@ -134,14 +135,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     need = heads.where("ranges is not null").select(F.col("node").alias("_node"), "first_id", "ranges")
     texts = docs.join(need, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text", "ranges")
     blocks = staged(block_table(texts), "suffix-blocks")
-    # blocks by fingerprint: those of two texts repeat as a whole; of the others each run is looked up
-    kinds = blocks.groupBy("block").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.first("runs").alias("runs"))
-    kinds = staged(kinds, "suffix-kinds")
-    runs = kinds.select(F.explode("runs").alias("run"), "a", "b").groupBy("run").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a != b")
-    whole = blocks.join(kinds.where("a != b").select("block", "a"), "block").select("node", F.col("low").alias("start"), (F.col("low") + F.size("runs") - 1 + LENGTH).alias("end"), (F.col("a") != F.col("node")).alias("later"))
-    lone = blocks.join(kinds.where("a = b").select("block"), "block").select("node", "low", F.posexplode("runs").alias("i", "run"))
-    single = lone.join(runs, "run").select("node", (F.col("low") + F.col("i")).alias("start"), (F.col("low") + F.col("i") + LENGTH).alias("end"), (F.col("a") != F.col("node")).alias("later"))
-    spans = whole.unionAll(single).groupBy("node").agg(F.collect_set(F.struct("start", "end", "later")).alias("s"))
+    # each different block once; of each run the first and the last text that has it
+    kinds = staged(blocks.groupBy("block").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.first("runs").alias("runs")), "suffix-kinds")
+    each = kinds.select("block", "a", "b", F.posexplode("runs").alias("i", "run"))
+    runs = each.groupBy("run").agg(F.min("a").alias("head"), F.max("b").alias("tail")).where("head != tail").select("run", "head")
+    # a block's repeated runs as segments of consecutive places with the same first text
+    found = each.select("block", "i", "run").join(runs, "run")
+    found = found.withColumn("island", F.col("i") - F.row_number().over(W.partitionBy("block", "head").orderBy("i")))
+    segments = found.groupBy("block", "head", "island").agg(F.min("i").alias("i0"), F.max("i").alias("i1"))
+    segments = segments.groupBy("block").agg(F.collect_list(F.struct("i0", "i1", "head")).alias("segments"))
+    spans = blocks.select("block", "node", "low").join(segments, "block").select("node", "low", F.inline("segments"))
+    spans = spans.select("node", (F.col("low") + F.col("i0")).alias("start"), (F.col("low") + F.col("i1") + LENGTH).alias("end"), (F.col("head") != F.col("node")).alias("later"))
+    spans = spans.groupBy("node").agg(F.collect_set(F.struct("start", "end", "later")).alias("s"))
     span = "array<struct<start:int,end:int>>"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,4 +171,30 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Spans as text: start:end, comma-joined."""
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias(c)
+    out = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_words", "n_repeated", text("spans"), text("later_spans"), "first_id")
+
+
+def _islands(flag: str, name: str) -> str:
+    """Unions of overlapping or touching runs of LENGTH words that start at s."""
+    return f"""{name} AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, sum(b - a)::INT AS n FROM (SELECT doc_id, min(s) AS a, max(s) + {LENGTH} AS b
+  FROM (SELECT *, sum(far) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS island
+    FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= {LENGTH} THEN 0 ELSE 1 END AS far FROM hit WHERE {flag})) GROUP BY doc_id, island) GROUP BY doc_id)"""
+
+
+#: Every run of LENGTH words is looked up among all documents' runs.
+SQL = f"""
+WITH d AS (SELECT doc_id, md5(text) AS m, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, w, ('0x' || substr(m, 1, 16))::UBIGINT AS u FROM d),
+n AS (SELECT doc_id, w, CASE WHEN u >= 9223372036854775808::UBIGINT THEN (u::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE u::BIGINT END AS node FROM k),
+c AS (SELECT node, min(doc_id) AS first_id, count(*) AS copies FROM n GROUP BY node),
+r AS (SELECT doc_id, node, s, md5(array_to_string(w[s + 1 : s + {LENGTH}], ' ')) AS h FROM (SELECT doc_id, node, w, unnest(range(0, len(w) - {LENGTH} + 1)) AS s FROM n WHERE len(w) >= {LENGTH})),
+g AS (SELECT h, min(node) AS a FROM r GROUP BY h HAVING min(node) <> max(node)),
+hit AS (SELECT r.doc_id, r.s, g.a <> r.node AS later FROM r JOIN g USING (h)),
+{_islands("TRUE", "every")}, {_islands("later", "late")}
+SELECT doc_id, len(w)::INT AS n_words, CASE WHEN copies > 1 THEN len(w)::INT ELSE every.n END AS n_repeated, CASE WHEN copies > 1 THEN '0:' || len(w) ELSE every.spans END AS spans,
+  CASE WHEN copies > 1 AND doc_id <> first_id THEN '0:' || len(w) ELSE coalesce(late.spans, '') END AS later_spans, first_id
+FROM n JOIN c USING (node) LEFT JOIN every USING (doc_id) LEFT JOIN late USING (doc_id) WHERE len(w) >= {LENGTH} AND (copies > 1 OR every.n > 0)
+"""
