@@ -11,9 +11,10 @@ deal their shingles into SAMPLES bins and draw one ICWS sample from each, an emp
 from others. Texts near the border have both kinds, so that two texts of similarity 0.8, whose
 weights differ by a fifth at most, share a kind. BANDS bands of ROWS samples give the buckets.
 
-Links: in each bucket one member is compared with all others; linked members are one component
-then. Those outside it are compared with all members of other components, some a round, until
-none is left that could be linked to anything in its bucket. So no link between members of a
+Links: in each bucket one member, that which shares most buckets with most others, is compared
+with all others; linked members are one component then. Those outside it are compared with all members of other components, ``hubs`` of a bucket
+in the first round and four times as many in each further one, until none is left that could
+be linked to anything in its bucket. So no link between members of a
 bucket is lost, and a large group of copies costs comparisons in proportion to its size. Each
 comparison is the exact weighted Jaccard similarity of whole texts.
 """
@@ -199,7 +200,7 @@ def verify(pairs: DataFrame, texts: DataFrame, held, threshold: float) -> DataFr
     return pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, idf_strength: float = 0.1, hubs: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, idf_strength: float = 0.1, hubs: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_rows, kept, node (16 bytes that stand
     for the text; null without words).
 
@@ -226,12 +227,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, idf_strength: float
     signed = docs.select("doc_id", "node", "text").mapInArrow(run, f"doc_id {id_type}, node binary, bands array<long>")
     nodes = staged(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "near-nodes")
     member = nodes.select("node", F.explode("bands").alias("bucket"))
-    held_in = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select("bucket", "hub")
-    member = staged(member.join(held_in, "bucket"), "near-buckets")
+    member = staged(member.join(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "near-members")
+    # hubs first: those that share most buckets with most others, as the text that copies stem from does
+    member = member.join(member.groupBy("node").agg(F.sum("n").alias("degree")), "node").drop("n")
+    held_in = member.groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
+    member = staged(member.join(held_in, "bucket").select("bucket", "node", "degree", "hub"), "near-buckets")
     need = member.select("node").distinct().join(nodes.select("node", "least"), "node").select(F.col("node").alias("_node"), "least")
     texts = docs.join(need, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text").dropDuplicates(["node"])
     texts = staged(texts, "near-texts")
-    tried = staged(member.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-tried")
+    tried = staged(member.where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "near-tried")
     links = staged(verify(tried, texts, held, threshold), "near-links")
     done = member.select("bucket", F.col("hub").alias("node")).distinct()
     comp = staged(components(links, name="near-cc"), "near-comp")
@@ -239,16 +243,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, idf_strength: float
         at = member.join(comp.select("node", F.col("comp").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
         at = at.join(comp.select(F.col("node").alias("hub"), F.col("comp").alias("hc")), "hub", "left").withColumn("hc", F.coalesce("hc", "hub"))
         outside = at.where("c != hc").join(done, ["bucket", "node"], "left_anti")
-        nth = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
-        new = staged(outside.select("bucket", "node", "c").withColumn("nth", nth).where(F.col("nth") <= hubs).drop("nth"), "near-hubs")
+        nth = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("degree"), "node"))
+        new = staged(outside.withColumn("nth", nth).where(F.col("nth") <= hubs).select("bucket", "node", "c"), "near-hubs")
         if new.isEmpty():
             break
+        # four times as many a round: after the first rounds those that are left mostly link to nothing
+        hubs *= 4
         pairs = at.select("bucket", F.col("node").alias("x"), F.col("c").alias("cx")).join(new, "bucket").where("cx != c")
         pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        pairs = staged(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
-        links = staged(links.unionAll(verify(pairs, texts, held, threshold)), "near-links")
-        tried, done = staged(tried.unionAll(pairs), "near-tried"), staged(done.unionAll(new.select("bucket", "node")), "near-done")
-        comp = staged(components(links, name="near-cc"), "near-comp")
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        found = staged(verify(pairs, texts, held, threshold), "near-links")
+        tried, done = tried.unionAll(pairs), done.unionAll(new.select("bucket", "node"))
+        # components of components: only the new links count
+        label = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
+        over = found.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = staged(components(over, name="near-cc"), "near-cc")
+        every = comp.unionAll(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("comp")).join(comp.select("node"), "node", "left_anti"))
+        renamed = joined.select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+        comp = staged(every.join(renamed, "comp", "left").select("node", F.coalesce("now", "comp").alias("comp")), "near-comp")
     linked = nodes.select("node", "least", "copies").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = linked.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_rows"))
     classes = linked.join(classes, "comp").select(F.col("node").alias("_node"), "class_id", "class_rows")
