@@ -5,8 +5,15 @@ context tree of its own: the root knows the bits decided so far, a node at depth
 d bytes, DEPTH at most. Each node keeps a Krichevsky-Trofimov estimate of its counts; bottom-up
 its weighted probability is half its own estimate and half the product of its children's, and a
 prediction mixes the estimates of all depths along the path by the posterior weights this gives
-(Willems et al. 1995). A context that training never saw predicts as its longest seen part. All
-training documents are counted; the counts, 256^(DEPTH+1) at most, are what is broadcast.
+(Willems et al. 1995). A decision that training never saw after a context is predicted as after
+the longest part of it where it was seen. All training documents are counted.
+
+The tree grows with the corpus and is never in one place. Texts are cut into blocks of about
+BLOCK bytes; each block's distinct codes (context and byte) are a written table, and so are
+their sums over all blocks. Codes whose contexts end in the same three bytes meet in one task,
+which weights that part of the tree bottom-up; sums by the last two bytes go to the driver
+(65,536 contexts at most), which weights the depths up to two and broadcasts them. The tasks
+then come down to the probability of each code, which joins the blocks that have it.
 
 The base score needs the count of every word. The FREQUENT most frequent words are broadcast;
 other words meet their counts in a join.
@@ -18,25 +25,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import fold_of, staged
 from .wordhash import pieces, raw, words
 
-DEPTH = 2
+DEPTH = 6
+BLOCK = 8 << 20
+#: Codes weighted in one task, about.
+PART = 200_000
 FREQUENT = 1 << 16
 
 
-def _codes(b: np.ndarray, o: np.ndarray) -> np.ndarray:
-    """Each byte with the two before it in its text (0 where there is none), as one number."""
-    one, two = np.zeros(len(b), np.uint32), np.zeros(len(b), np.uint32)
-    one[1:], two[2:] = b[:-1], b[:-2]
-    first = o[:-1][np.diff(o) > 0]
-    one[first] = two[first] = 0
-    second = o[:-1][np.diff(o) > 1] + 1
-    two[second] = 0
-    return two << np.uint32(16) | one << np.uint32(8) | b
+def _codes(b: np.ndarray, o: np.ndarray, depth: int = 2) -> np.ndarray:
+    """Each byte with the ``depth`` before it in its text (0 where there is none), as one number."""
+    at = np.arange(len(b)) - np.repeat(o[:-1], np.diff(o))
+    out = b.astype(np.int64)
+    for k in range(1, depth + 1):
+        out[k:] |= np.where(at[k:] >= k, b[:-k], 0).astype(np.int64) << 8 * k
+    return out
 
 
 def _add(have: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -49,18 +59,48 @@ def _add(have: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarr
     return keys[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
-def count_contexts(texts: DataFrame) -> DataFrame:
-    """(code, n) over all texts: how often each byte followed each context of DEPTH bytes."""
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """Adds ``block``: rows that follow each other, about BLOCK bytes of text. To be staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        first, before = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            data, offs = raw(batch.column(0))
-            for lo, hi in pieces(offs):
-                have = _add(have, _codes(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
-        yield pa.RecordBatch.from_arrays([pa.array(have[0].astype(np.int32)), pa.array(have[1])], ["code", "n"])
+            size = np.diff(raw(batch.column("text"))[1])
+            since = before + np.cumsum(size) - size
+            before += int(size.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + since // BLOCK)], [*batch.schema.names, "block"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("block", LongType())]))
+
 
-    return texts.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def count_codes(docs: DataFrame) -> DataFrame:
+    """(block, code, n): the distinct codes of each block's texts, and how often they stand in
+    its training texts. A block that two tasks read has rows from both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, have = -1, none
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(have[0]), at)), *map(pa.array, have)], ["block", "code", "n"])
+
+        for batch in batches:
+            data, offs = raw(batch.column(0))
+            held, block = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
+            for lo, hi in ((a + x, a + y) for a, b in zip(cuts, cuts[1:]) for x, y in pieces(offs[a : b + 1])):
+                if block[lo] != at:
+                    if len(have[0]):
+                        yield out()
+                    at, have = int(block[lo]), none
+                o = offs[lo : hi + 1] - offs[lo]
+                codes, kept = _codes(data[offs[lo] : offs[hi]], o, DEPTH), np.repeat(~held[lo:hi], np.diff(o))
+                other = np.unique(codes[~kept])
+                have = _add(_add(have, codes[kept]), other, np.zeros(len(other), np.int64))
+        if len(have[0]):
+            yield out()
+
+    return docs.select("text", "held_out", "block").mapInArrow(run, "block long, code long, n long")
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -89,8 +129,112 @@ def ln_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - i * (1 / 360 - i * (1 / 1260 - i / 1680))) / y - shift
 
 
+def _path(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight decisions of each code's byte: (context and node as one number, bit), 8 rows."""
+    level = np.arange(8)[:, None]
+    return code & ~255 | 1 << level | (code & 255) >> 8 - level, (code & 255) >> 7 - level & 1
+
+
+def _shorter(key: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of the same decisions after the last ``depth`` bytes alone."""
+    return (key >> 8 & (1 << 8 * depth) - 1) << 8 | key & 255
+
+
+def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[new], *(np.add.reduceat(v[order], new) if len(new) else v for v in values)
+
+
+class Level:
+    """One depth of the tree: sorted keys (context and node), counts, and for all but the
+    deepest the sum of ln weighted probability of the children."""
+
+    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None = None):
+        self.key, self.zeros, self.ones = key, zeros, ones
+        self.one = (ones + 0.5) / (zeros + ones + 1)
+        own = ln_gamma(zeros + 0.5) + ln_gamma(ones + 0.5) - ln_gamma(zeros + ones + 1.0) - np.log(np.pi)
+        self.stay = np.ones(len(key)) if below is None else 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+        self.ln_w = own if below is None else np.logaddexp(own, below) + np.log(0.5)
+
+    def up(self, depth: int) -> tuple[np.ndarray, ...]:
+        """Keys, counts and sums for the level above, whose contexts have ``depth`` bytes."""
+        return _summed(_shorter(self.key, depth), self.zeros, self.ones, self.ln_w)
+
+    def mix(self, above: Level | None, depth: int) -> None:
+        """p: of a one, where this is the deepest level that has the key; acc, rest: for the level below."""
+        acc, rest = np.zeros(len(self.key)), np.ones(len(self.key))
+        if above is not None:
+            at = np.searchsorted(above.key, _shorter(self.key, depth - 1))
+            acc, rest = above.acc[at], above.rest[at]
+        self.p, self.acc, self.rest = acc + rest * self.one, acc + rest * self.stay * self.one, rest * (1 - self.stay)
+
+
+def lower(code: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> list[Level]:
+    """Levels 3 to ``depth`` from the counts of whole subtrees, weighted bottom-up."""
+    code, n = code[n > 0], n[n > 0]
+    key, bit = _path(code)
+    levels = [Level(*_summed(key.ravel(), (n * (1 - bit)).ravel(), (n * bit).ravel()))]
+    for d in range(depth - 1, 2, -1):
+        levels.insert(0, Level(*levels[0].up(d)))
+    return levels
+
+
+def upper(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> list[Level]:
+    """Levels 0 to 2 from the sums that ``lower`` gives for level 2, ready to come down."""
+    levels = [Level(*_summed(key, zeros, ones, below))]
+    for d in (1, 0):
+        levels.insert(0, Level(*levels[0].up(d)))
+    for d, level in enumerate(levels):
+        level.mix(levels[d - 1] if d else None, d)
+    return levels
+
+
+def probabilities(code: np.ndarray, n: np.ndarray, top: list[Level], depth: int = DEPTH) -> np.ndarray:
+    """Log10 probability of each code's byte after its context; all counts of its subtree are here."""
+    levels = [*top, *lower(code, n, depth)]
+    for d in range(3, depth + 1):
+        levels[d].mix(levels[d - 1], d)
+    key, bit = (x.ravel() for x in _path(code))
+    p, left = np.full(len(key), 0.5), np.arange(len(key))
+    for d in range(depth, -1, -1):
+        level, want = levels[d], _shorter(key[left], d)
+        if len(level.key):
+            at = np.minimum(np.searchsorted(level.key, want), len(level.key) - 1)
+            seen = level.key[at] == want
+            p[left[seen]] = level.p[at[seen]]
+            left = left[~seen]
+    return np.log10(np.where(bit == 1, p, 1 - p)).reshape(8, -1).sum(0)
+
+
+def score_codes(codes: DataFrame) -> DataFrame:
+    """(code, lp) from (code, n): log10 probabilities by the tree of all codes with n > 0."""
+    spark = codes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-codes.count() // PART))
+    # subtrees by the last three bytes of the context
+    codes = codes.select("code", "n").repartition(parts, F.shiftright("code", 8).bitwiseAND(F.lit((1 << 24) - 1)))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        return tuple(np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in lower(*whole(batches))[0].up(2)], ["key", "zeros", "ones", "below"])
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, n = whole(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(probabilities(code, n, top.value))], ["code", "lp"])
+
+    sums = codes.mapInArrow(climb, "key long, zeros long, ones long, below double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
+    sums = sums.toPandas()  # 255 decisions after 65,536 contexts at most
+    top = spark.sparkContext.broadcast(upper(*(sums[c].to_numpy(t) for c, t in (("key", np.int64), ("zeros", np.int64), ("ones", np.int64), ("below", np.float64)))))
+    return codes.mapInArrow(descend, "code long, lp double")
+
+
 class ContextTree:
-    """Log10 probabilities of every byte after every context, from counts of (context, byte)."""
+    """The tree of depth two as dense arrays: log10 probabilities of every byte after every context,
+    from counts of (context, byte). Not what is scored with; tests hold the recursion against it."""
 
     def __init__(self, code: np.ndarray, n: np.ndarray):
         code = code.astype(np.int64)
@@ -137,9 +281,6 @@ class ContextTree:
             out += np.where(byte >> (7 - level) & 1, one[:, node], zero[:, node])
         return out
 
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        return self.rows[self.row[codes >> np.uint32(8)], codes & np.uint32(255)]
-
 
 def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
@@ -155,24 +296,30 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col:
     held_out = F.coalesce(fold_of("doc_id", folds) == held_fold, F.lit(False))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", held_out).withColumn("node", F.conv(F.substring(F.md5("text"), 1, 16), 16, -10).cast("long"))
+    docs = staged(in_blocks(docs), "lm-texts")
     train = docs.where("not held_out")
-    cells = count_contexts(train).toPandas()  # 256^(DEPTH+1) rows at most
-    tree = ContextTree(cells["code"].to_numpy(), cells["n"].to_numpy())
+    found = staged(count_codes(docs), "lm-codes")
+    codes = staged(found.groupBy("code").agg(F.sum("n").alias("n")), "lm-contexts")
+    probs = found.select("block", "code").join(score_codes(codes), "code")
     vocabulary = staged(count_words(train), "lm-words")
     ends = train.count()
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = total + ends, distinct + (ends > 0)
     top = vocabulary.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas().sort_values("h")
-    held = spark.sparkContext.broadcast((tree, top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
+    held = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rare_type = pa.struct([("h", pa.int64()), ("k", pa.int32())])
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
     end = float(np.log10(ends + 0.5)) - norm
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, names, counts = held.value
+    def run(block: pa.Table, own: pa.Table) -> pa.Table:
+        names, counts = held.value
         logs = np.log10(counts + 0.5)
-        for batch in batches:
+        code, lp_of = own["code"].to_numpy(), own["lp"].to_numpy()
+        order = np.argsort(code)
+        code, lp_of = code[order], lp_of[order]
+        out = []
+        for batch in block.select(["doc_id", "held_out", "node", "text"]).combine_chunks().to_batches():
             texts = batch.column(3)
             n_words, known, base, score, size, rare, rare_n = ([] for _ in range(7))
             for w in words(texts):
@@ -183,7 +330,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col:
                 n_words.append(n)
                 known.append(np.bincount(row[common], minlength=w.rows))
                 base.append(np.bincount(row[common], logs[at[common]], w.rows))
-                lp = tree.score(_codes(w.data, w.row_bytes)).astype(np.float64)
+                lp = lp_of[np.searchsorted(code, _codes(w.data, w.row_bytes, DEPTH))]
                 total = np.concatenate([[0], np.cumsum(lp)])
                 score.append(total[w.row_bytes[1:]] - total[w.row_bytes[:-1]])
                 size.append(np.diff(w.row_bytes))
@@ -199,10 +346,11 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col:
             cat = np.concatenate
             offsets = pa.array(cat([[0], np.cumsum(cat(rare_n))]).astype(np.int32))
             rare = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(cat(x)) for x in zip(*rare)], fields=list(rare_type)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cat(n_words)), pa.array(cat(known)), pa.array(cat(base)), pa.array(cat(score)), pa.array(cat(size)), rare], ["doc_id", "held_out", "node", "n_words", "known", "base", "score", "size", "rare"])
+            out.append(pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cat(n_words)), pa.array(cat(known)), pa.array(cat(base)), pa.array(cat(score)), pa.array(cat(size)), rare], ["doc_id", "held_out", "node", "n_words", "known", "base", "score", "size", "rare"]))
+        return pa.Table.from_batches(out)
 
     schema = f"doc_id {id_type}, held_out boolean, node long, n_words long, known long, base double, score double, size long, rare array<struct<h:bigint,k:int>>"
-    rows = staged(docs.select("doc_id", "held_out", "node", "text").mapInArrow(run, schema), "lm-rows")
+    rows = staged(docs.groupBy("block").cogroup(probs.groupBy("block")).applyInArrow(run, schema), "lm-rows")
     met = rows.select("node", F.inline("rare")).join(vocabulary, "h", "left")
     met = met.groupBy("node").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("rest_known"))
     # equal texts have each added the same: their sum over the number of copies is one text's

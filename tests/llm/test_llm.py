@@ -260,6 +260,64 @@ def test_context_tree_is_a_distribution_and_mixes():
     assert math.isclose(got, want, rel_tol=1e-3, abs_tol=1e-6)
 
 
+def plain_tree(train, text, depth):
+    """Log10 probability of a text's bytes by the recursion over dictionaries of counts."""
+    kt = lambda v: math.lgamma(v[0] + 0.5) + math.lgamma(v[1] + 0.5) - math.lgamma(sum(v) + 1) - math.log(math.pi)
+    n, kids = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+
+    def path(b, i):
+        for level in range(8):
+            node, bit = 1 << level | b[i] >> (8 - level), b[i] >> (7 - level) & 1
+            yield bit, [(bytes(b[i - k] if i >= k else 0 for k in range(1, d + 1)), node) for d in range(depth + 1)]
+
+    for t in train:
+        for i in range(len(t)):
+            for bit, keys in path(t, i):
+                for k, up in zip(keys, [None, *keys]):
+                    n[k][bit] += 1
+                    kids[up].add(k)
+    w = {}
+    for k in sorted(n, key=lambda k: -len(k[0])):
+        below = sum(w[x] for x in kids[k]) if len(k[0]) < depth else None
+        w[k] = kt(n[k]) if below is None else math.log(0.5) + float(np.logaddexp(kt(n[k]), below))
+    out = 0.0
+    for i in range(len(text)):
+        for bit, keys in path(text, i):
+            seen = [k for k in keys if k in n]
+            p, rest = (0.5, 0) if not seen else (0, 1)
+            for k in seen:
+                stay = 1 if k == seen[-1] else math.exp(kt(n[k]) + math.log(0.5) - w[k])
+                p, rest = p + rest * stay * (n[k][1] + 0.5) / (sum(n[k]) + 1), rest * (1 - stay)
+            out += math.log10(p if bit else 1 - p)
+    return out
+
+
+def test_context_tree_to_full_depth(spark):
+    """Scores follow dependencies of more than two bytes, as the plain recursion has them."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["abcdeX", "zbcdeY", "kbcdeZ", "é"]) for _ in range(12))) for i in range(30)]
+    rows += [(100, None), (101, ""), (102, "q"), (None, "abcdeX unseen \x00"), (3, rows[3][1])]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+    train = [(t or "").encode() for d, t in rows if not held(d)]
+    got = lmscore.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    texts = dict(rows)
+    assert len(got) == len(rows) and sum(r.held_out for r in got) > 3
+    for r in got:
+        assert math.isclose(r.score, plain_tree(train, (texts[r.doc_id] or "").encode(), 6), rel_tol=1e-6, abs_tol=1e-9)
+    # what comes after "bcde" is settled five bytes before: nothing but the choice of word is left
+    assert all(r.bits_per_byte < 0.6 for r in got if r.held_out and r.doc_id < 30)
+
+
+def test_probabilities_of_all_bytes_sum_to_one():
+    data = np.frombuffer(b"abracadabra abracadabra" * 3, np.uint8)
+    code, n = np.unique(lmscore._codes(data, np.array([0, len(data)]), 6), return_counts=True)
+    top = lmscore.upper(*lmscore.lower(code, n)[0].up(2))
+    for context in (code[5] >> 8, code[20] >> 8, 0, int.from_bytes(b"xxxxra"), int.from_bytes(b"xxxxxx")):
+        every = np.concatenate([code, (int(context) << 8) + np.arange(256)])
+        lp = lmscore.probabilities(every, np.concatenate([n, np.zeros(256, np.int64)]), top)
+        assert math.isclose((10 ** lp[len(code) :]).sum(), 1, rel_tol=1e-9)
+
+
 # ---- 6
 
 
