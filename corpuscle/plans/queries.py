@@ -275,14 +275,29 @@ SELECT doc_id, item_id, contains(hay, q) AS whole FROM d JOIN b ON contains(hay,
 def contamination_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which items, taken as quotes, are grounded in which documents. A grounded quote's second
     to fifth words stand in the text as they are (its first may end a word, its sixth begin
-    one): documents meet quotes on that run of words, then the rule is applied."""
+    one): documents meet quotes on that run of words, then the rule is applied. Quotes of three
+    to five words meet them on the words between their first and last; those of fewer, which
+    may stand within words, are held against every document."""
     b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), T.quote_form(F.col("text")).alias("q")).withColumn("w", F.split("q", " "))
-    b = b.where(F.size("w") >= 6).select("item_id", "quote", "q", F.array_join(F.slice("w", 2, 4), " ").alias("run"))
+    b = b.where("q is not null").withColumn("k", F.least(F.size("w") - 2, F.lit(4)))
+    few = b.where("k < 1").select("item_id", "q")
+    lengths = sorted(r["k"] for r in b.where("k > 0").select("k").distinct().collect())  # of 1 to 4
+    b = b.where("k > 0").select("item_id", "quote", "q", F.array_join(F.slice("w", F.lit(2), F.col("k")), " ").alias("run"))
     d = read(spark, sf_dir, "documents").select("doc_id", T.quote_form(F.col("text")).alias("hay")).withColumn("w", F.split("hay", " "))
-    n = F.greatest(F.size("w") - 3, F.lit(0))
-    four = F.zip_with(F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda x, y: F.concat_ws(" ", x, y)), F.zip_with(F.slice("w", 3, n), F.slice("w", 4, n), lambda x, y: F.concat_ws(" ", x, y)), lambda x, y: F.concat_ws(" ", x, y))
-    at = d.select("doc_id", F.explode(F.array_distinct(four)).alias("run")).join(F.broadcast(b) if b.count() <= 10_000 else b, "run")
+
+    def runs(k: int):
+        n = F.greatest(F.size("w") - (k - 1), F.lit(0))
+        if k == 1:
+            return F.slice("w", 1, n)
+        pair = lambda i: F.zip_with(F.slice("w", i, n), F.slice("w", i + 1, n), lambda x, y: F.concat_ws(" ", x, y))
+        return pair(1) if k == 2 else F.zip_with(pair(1), pair(3) if k == 4 else F.slice("w", 3, n), lambda x, y: F.concat_ws(" ", x, y))
+
+    held = [runs(k) for k in lengths] or [F.array().cast("array<string>")]
+    at = d.select("doc_id", F.explode(F.array_distinct(F.concat(*held))).alias("run")).join(F.broadcast(b) if b.count() <= 10_000 else b, "run")
     found = at.join(d.select("doc_id", "hay"), "doc_id").where(F.col("hay").contains(F.array_join(F.slice(F.split("q", " "), 1, 6), " ")))
+    found = found.select("doc_id", "item_id", "hay", "q")
+    if not few.isEmpty():
+        found = found.unionAll(d.join(few, F.col("hay").contains(F.col("q"))).select("doc_id", "item_id", "hay", "q"))
     return found.select("doc_id", "item_id", F.col("hay").contains(F.col("q")).alias("whole"))
 
 

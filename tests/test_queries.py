@@ -33,3 +33,20 @@ def test_query(spark, duck, name):
     want = [tuple(r[i] for i in at) for r in cur.fetchall()]
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_short_items_are_grounded(spark, tmp_path):
+    """Items of any length, held against the query's own SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["The cat sat, on a MAT today.", "concatenate satin", "a cat", "", None, "one two three four five six seven", "zone two three four fives", "x one two three four five sixty", "one two", "!!!", "three four"]
+    items = ["cat", "cat sat", "cat sat on", "ne two three four five", "one two three four", "two", "mat to", "", None, "?!", "one two three four five six eight", "one two three four five six", "absent", "one three", "cat on mat"]
+    rows = {"documents": ("doc_id long, text string", texts), "benchmark": ("item_id long, text string", items)}
+    con = duckdb.connect()
+    for few in (items, items[10:12], items[:2]):
+        for t, (schema, values) in rows.items():
+            values = few if t == "benchmark" else values
+            spark.createDataFrame(list(enumerate(values)), schema).write.mode("overwrite").parquet(f"{tmp_path}/{t}.parquet")
+            con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        got = q.QUERIES["contamination_grounding"](spark, str(tmp_path)).select("doc_id", "item_id", "whole").collect()
+        want = con.execute("SELECT doc_id, item_id, whole FROM (" + q.SQL["contamination_grounding"] + ")").fetchall()
+        assert sorted(map(tuple, got)) == sorted(want) and want
