@@ -1,9 +1,9 @@
 """Sharding by balanced label propagation.
 
 Documents are linked when their texts are equal (they share a group). A start shard comes from
-a hash; in every round each group looks at where its members are (one join of the members'
-shard counts with the groups' best shard) and members move towards the neighbours' majority
-shard, as far as that shard's quota allows. The state is one row per (group, shard) with a
+a hash; in every round each group looks at where its members are and they move to the shard
+that has most of them among those with room, as far as its quota allows; once one is full the
+next takes the rest, until no move is possible. The state is one row per (group, shard) with a
 count, so a group that holds a third of all rows is at most ``shards`` rows. At last linked
 documents keep their shard up to its exact quota, and all others fill the shards, so that row
 counts differ by one at most (law ``rows``). All ranks are taken in salted runs with offsets
@@ -12,7 +12,7 @@ added, never over one key in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,32 +36,45 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, rows: int
     return df.withColumn("_in", within).join(ahead, same).withColumn(out, (F.col("_in") + F.col("_ahead")).cast("long")).drop("_in", "_ahead", "_run", "_r", *[f"_{k}" for k in keys])
 
 
-def propagate(cells: DataFrame, shards: int, quota: Column, rounds: int) -> DataFrame:
-    """cells: (g, shard, n) counts of linked documents. Members move to their group's majority
-    shard; where more want to enter a shard than its quota leaves room for, a seeded share of
-    the groups may. Stops when nobody wants to move, after ``rounds`` at most."""
-    for t in range(rounds):
-        load = cells.groupBy("shard").agg(F.sum("n").alias("load"))
-        room = cells.sparkSession.range(shards).select(F.col("id").cast("int").alias("s")).join(load, F.col("s") == F.col("shard"), "left").select("s", F.greatest(quota - F.coalesce("load", F.lit(0)), F.lit(0)).alias("room"))
-        # a tie goes to the shard that a hash of group and shard prefers
-        best = cells.groupBy("g").agg(F.max_by("shard", F.struct("n", F.xxhash64("g", "shard"))).alias("best"), F.count("*").alias("parts")).where("parts > 1")
-        wish = cells.join(best, "g", "left").withColumn("moves", F.col("best").isNotNull() & (F.col("best") != F.col("shard")))
-        asked = wish.where("moves").groupBy(F.col("best").alias("s")).agg(F.sum("n").alias("asked"))
-        # shards is a small constant: this table has that many rows at most
-        share = {r["s"]: min(1.0, r["room"] / r["asked"]) for r in room.join(asked, "s").collect()}
-        if not share:
+def propagate(cells: DataFrame, quotas: list[int], rounds: int | None = None) -> DataFrame:
+    """cells: (g, shard, n) counts of linked documents. Each group's members move to the shard
+    that has most of them among those with room, smallest cells first, each shard's room given
+    out in a seeded order of groups and never beyond its quota. A move is made if the sum of
+    n * n over the group's cells grows by it, so that rounds end: when nobody can move, or after
+    ``rounds``."""
+    was, t = None, 0
+    while rounds is None or t < rounds:
+        # as many rows as there are shards
+        state = cells.groupBy("shard").agg(F.sum("n").alias("load"), F.count("*").alias("cells"), F.sum((F.col("n") * F.col("n")).cast("decimal(38,0)")).alias("squares")).collect()
+        now = sum(r["squares"] for r in state)
+        if now == was:
+            break
+        loads = {r["shard"]: r["load"] for r in state}
+        room = {s: quota - loads.get(s, 0) for s, quota in enumerate(quotas) if quota > loads.get(s, 0)}
+        if not room:
             break
-        allowed = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(share.items()) for x in kv]), F.col("best"))
-        lucky = F.pmod(F.xxhash64("g", F.lit(t)), F.lit(1_000_000)) < allowed * 1_000_000
-        # a large cell moves in part, as much as there is room for
-        part = F.when(F.col("n") > 1000, F.floor(F.col("n") * allowed)).otherwise(F.when(lucky, F.col("n")).otherwise(0))
-        wish = wish.withColumn("go", F.when(F.col("moves"), part).otherwise(F.lit(0)).cast("long"))
-        moved = wish.select("g", "shard", (F.col("n") - F.col("go")).alias("n")).unionAll(wish.where("go > 0").select("g", F.col("best").alias("shard"), F.col("go").alias("n")))
+        # a tie goes to the shard that a hash of group and shard prefers
+        most = F.max(F.struct("n", F.xxhash64("g", "shard").alias("h"), "shard"))
+        best = cells.where(F.col("shard").isin(*room)).groupBy("g").agg(most.alias("b")).select(F.col("g").alias("_g"), F.col("b.shard").alias("best"), F.col("b.n").alias("there"))
+        wish = cells.join(best, F.col("g") == F.col("_g"), "left").drop("_g")
+        asks = F.coalesce(F.col("best") != F.col("shard"), F.lit(False))
+        runs = max(1, -(-sum(r["cells"] for r in state) // RUN))
+        asked = wish.where(asks).withColumn("run", F.pmod(F.xxhash64("g", F.lit(t)), F.lit(runs)).cast("int"))
+        sums = asked.groupBy("best", "run").agg(F.sum("n").alias("_n"))
+        before = W.partitionBy("best").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+        ahead = sums.select(F.col("best").alias("_best"), F.col("run").alias("_run"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("ahead"))
+        within = W.partitionBy("best", "run").orderBy(F.xxhash64("g", F.lit(t), F.lit(1)), "g", "n", "shard").rowsBetween(W.unboundedPreceding, -1)
+        asked = asked.withColumn("since", F.coalesce(F.sum("n").over(within), F.lit(0))).join(ahead, (F.col("best") == F.col("_best")) & (F.col("run") == F.col("_run")))
+        free = F.element_at(F.create_map(*[F.lit(x) for kv in room.items() for x in kv]), F.col("best"))
+        go = F.greatest(F.least(F.col("n"), free - F.col("since") - F.col("ahead")), F.lit(0))
+        asked = asked.withColumn("go", F.when(go > F.col("n") - F.col("there"), go).otherwise(0).cast("long"))
+        moved = wish.where(~asks).select("g", "shard", "n").unionAll(asked.select("g", "shard", (F.col("n") - F.col("go")).alias("n"))).unionAll(asked.where("go > 0").select("g", F.col("best").alias("shard"), F.col("go").alias("n")))
         cells = staged(moved.where("n > 0").groupBy("g", "shard").agg(F.sum("n").alias("n")), "shards")
+        was, t = now, t + 1
     return cells
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, size (UTF-8 bytes plus 1), text_crc32, law 'rows', shard, slot
     (0.. within the shard), grown_shard (null under this law).
 
@@ -74,13 +87,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col:
     rows = staged(rows, "shard-rows")
     n = rows.count()
     floor, extra = divmod(n, shards)
-    quota = F.lit(floor) + (F.col("s") < extra).cast("int")
+    quotas = [floor + (s < extra) for s in range(shards)]
     order = ["doc_id", "g"]
     linked = rows.groupBy("g").agg(F.count("*").alias("group_rows")).where("group_rows > 1").select("g", F.lit(True).alias("linked"))
     rows = staged(rows.join(linked, "g", "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "shard-linked")
     in_groups = staged(ranked(rows.where("linked"), ["g"], order, "nth", n), "shard-nth")
     cells = in_groups.groupBy("g", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
-    cells = propagate(staged(cells, "shards"), shards, quota, rounds)
+    cells = propagate(staged(cells, "shards"), quotas, rounds)
     # members of a group take its cells in turn: the first n of them the first cell, and so on
     upto = F.sum("n").over(W.partitionBy("g").orderBy("shard"))
     cuts = cells.select("g", "shard", upto.alias("upto"), (upto - F.col("n")).alias("since")).withColumnRenamed("g", "_g")

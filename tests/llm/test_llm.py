@@ -394,6 +394,32 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_hot_group_takes_as_few_shards_as_it_needs(spark):
+    """A third of all rows, in cells of over 1,000 at the start."""
+    d = spark.range(60_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', cast(id as string)) as text").repartition(4)
+    got = collections.Counter((r.shard, r.doc_id % 3 == 0) for r in sharding.shard_documents(d).select("doc_id", "shard").collect())
+    assert all(got[s, True] + got[s, False] == 3750 for s in range(16))
+    assert sum(got[s, True] > 0 for s in range(16)) == -(-20_000 // 3750)
+
+
+def test_quotas_hold_while_groups_move(spark):
+    rng = random.Random(6)
+    cells = [(g, s, rng.randint(1, 40)) for g in range(60) for s in range(16) if rng.random() < 0.4]
+    total = sum(n for *_, n in cells)
+    for quota, rounds in ((total // 8, None), (total // 16 + 5, 4)):
+        was = collections.Counter()
+        for _, s, n in cells:
+            was[s] += n
+        got = sharding.propagate(spark.createDataFrame(cells, "g long, shard int, n long"), [quota] * 16, rounds).collect()
+        load, sizes = collections.Counter(), collections.Counter()
+        for r in got:
+            load[r.shard] += r.n
+            sizes[r.g] += r.n
+        assert all(load[s] <= max(quota, was[s]) for s in range(16))
+        assert sizes == sum((collections.Counter({g: n}) for g, _, n in cells), collections.Counter())
+        assert rounds or len(got) < 70
+
+
 # ---- 9
 
 
