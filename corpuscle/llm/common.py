@@ -41,6 +41,14 @@ def content_key(text: str = "text") -> Column:
     return F.unhex(F.md5(F.col(text)))
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold_of(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

@@ -1,12 +1,16 @@
 """Benchmark decontamination by a positional inverted index; DataFrame functions only.
 
 Words: A-Z as a-z, runs of digits, letters a-z and all characters beyond ASCII. A test item's
-windows are its runs of LENGTH words, or the item as a whole if it has fewer. For each window the
-two terms that are rarest in the whole corpus stand for it: the index stores the postings (text,
-position) of these terms in all documents. Each posting, moved by its term's offset in the
-window, is a place where the window may begin; the lists of a window's two terms are
-intersected, and what is left is compared word by word, which gives the exact phrases. The same
-lists, let apart by a slop, give proximity matches.
+windows are its runs of LENGTH words, or the item as a whole if it has fewer. Texts are cut into
+words once: the index stores every row's words by position, and inverted lists (term, row,
+position) of the terms that are among the two rarest of a window. Each posting, moved by its
+term's offset in the window, is a place where the window may begin; the lists of a window's two
+rarest terms are intersected first, and the lists of all its other terms with what is left, so
+that a window is found exactly where each of its terms has a posting in its place. The rarest
+terms' lists, let apart by a slop, give proximity matches.
+
+Rows have a number of their own in the index, so that copies of one text, however many, are not
+one key.
 
 The tables made from the benchmark are broadcast only if they are within BROADCAST_ROWS and
 BROADCAST_BYTES; beyond that the same joins are shuffled.
@@ -19,13 +23,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, staged
+from .common import content_key, fresh, staged
 
 LENGTH = 10
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 24 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OUTSIDE = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-_WORD_ANY_CASE = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def word_list(text: Column) -> Column:
@@ -35,73 +38,76 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(low, _OUTSIDE), "")
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long")
-
-
 def within_bounds(df: DataFrame, *strings: str) -> DataFrame:
     """``df``, to be broadcast if its rows and the bytes of its strings are within the bounds."""
-    n, size = df.agg(F.count("*"), F.sum(sum((F.octet_length(c) for c in strings), F.lit(32)))).first()
+    n, size = df.agg(F.count("*"), F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(32)))).first()
     return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 @dataclass
 class Index:
-    """phrases: pid, phrase, len, items. seeds: term, pid, k (its place in the window), role, roles.
-    postings: term, key (of the text), pos."""
-
-    phrases: DataFrame
+    """tokens: row, doc_id, key (of the text), n_words, w (words by position). windows: pid, len.
+    terms: pid, k (place in the window), term. items: pid, item_id. seeds: term, pid, k, role (0
+    for the rarest term, 1 for the next), roles, possible (all terms of the window stand in some
+    document). postings: term, row, pos."""
+
+    tokens: DataFrame
+    windows: DataFrame
+    terms: DataFrame
+    items: DataFrame
     seeds: DataFrame
     postings: DataFrame
 
-    def candidates(self) -> DataFrame:
-        """(key, pid, start) in all rarest terms' lists, moved by their offsets."""
-        seeds = within_bounds(self.seeds, "term")
-        begin = self.postings.join(seeds, "term").select("key", "pid", (F.col("pos") - F.col("k")).alias("start"), (F.col("role") + 1).alias("bit"), "roles").where("start >= 0")
-        both = begin.groupBy("key", "pid", "start").agg(F.bit_or("bit").alias("bits"), F.first("roles").alias("roles"))
-        return both.where(F.col("bits") == F.when(F.col("roles") == 2, 3).otherwise(1)).select("key", "pid", "start")
-
-
-def build(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> Index:
-    """docs: (key, text); items: (item_id, text)."""
+    def begins(self, seeds: DataFrame) -> DataFrame:
+        """(row, pid, role, roles, start): where a window would begin, by each posting of a seed."""
+        return self.postings.join(within_bounds(seeds, "term"), "term").select("row", "pid", "role", "roles", (F.col("pos") - F.col("k")).alias("start"))
+
+    def matches(self) -> DataFrame:
+        """(row, pid, start, len) of the exact occurrences of windows."""
+        begin = self.begins(self.seeds.where("possible")).where("start >= 0")
+        both = begin.groupBy("row", "pid", "start").agg(F.bit_or(F.col("role") + 1).alias("bits"), F.first("roles").alias("roles"))
+        found = staged(both.where(F.col("bits") == F.when(F.col("roles") == 2, 3).otherwise(1)).select("row", "pid", "start"), "decon-begins")
+        # all lists of the rows that are left, met with the window's terms in their places
+        rows = found.select("row").distinct().withColumnRenamed("row", "_row")
+        lists = self.tokens.select("row", "w").join(rows, F.col("row") == F.col("_row"), "left_semi").select("row", F.posexplode("w").alias("pos", "term"))
+        want = found.join(within_bounds(self.terms, "term"), "pid").select("row", "pid", "start", (F.col("start") + F.col("k")).alias("pos"), "term")
+        met = want.join(lists, ["row", "pos", "term"]).groupBy("row", "pid", "start").agg(F.count("*").alias("met"))
+        return met.join(within_bounds(self.windows), "pid").where("met = len").select("row", "pid", "start", "len")
+
+
+def build(docs: DataFrame, items: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The stored index of ``docs`` for the windows of ``items`` (item_id, text)."""
     words = items.select(F.col("item_id").cast("string").alias("item_id"), word_list(F.col("text")).alias("w")).where(F.size("w") > 0)
     begins = F.sequence(F.lit(0), F.greatest(F.size("w") - length, F.lit(0)))
     phrases = words.withColumn("i", F.explode(begins)).select("item_id", F.slice("w", F.col("i") + 1, length).alias("w"))
-    phrases = phrases.groupBy(F.array_join("w", " ").alias("phrase"), F.size("w").alias("len")).agg(F.collect_set("item_id").alias("items"))
-    phrases = staged(phrases.withColumn("pid", F.xxhash64("phrase")), "decon-phrases")
-    terms = staged(phrases.select("pid", F.posexplode(F.split("phrase", " ")).alias("k", "term")), "decon-terms")
+    phrases = staged(phrases.select(F.xxhash64(F.array_join("w", " ")).alias("pid"), "item_id", "w").distinct(), "decon-phrases")
+    of = phrases.select("pid", "item_id").distinct()
+    terms = staged(phrases.dropDuplicates(["pid"]).select("pid", F.size("w").alias("len"), F.posexplode("w").alias("k", "term")), "decon-terms")
+    windows = terms.select("pid", "len").distinct()
+
+    tokens = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), content_key(text_col).alias("key"), F.coalesce(word_list(F.col(text_col)), F.array().cast("array<string>")).alias("w"))
+    tokens = staged(tokens.select("row", "doc_id", "key", F.size("w").cast("long").alias("n_words"), "w"), "decon-tokens")
+
     vocabulary = within_bounds(terms.select("term").distinct(), "term")
-    each = docs.select(F.explode(word_list(F.col("text"))).alias("term"))
-    often = staged(each.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df")), "decon-df")
+    often = staged(tokens.select(F.explode("w").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df")), "decon-df")
     ranked = terms.join(often, "term", "left").groupBy("pid", "term").agg(F.first(F.coalesce("df", F.lit(0))).alias("df"), F.min("k").alias("k"))
-    ranked = ranked.groupBy("pid").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "term", "k"))), 1, 2).alias("rare"))
-    # a term that no document has rules its window out
-    ranked = ranked.where(F.col("rare")[0]["df"] > 0)
-    seeds = staged(ranked.select("pid", F.size("rare").alias("roles"), F.posexplode("rare").alias("role", "x")).select("x.term", "pid", "x.k", "role", "roles"), "decon-seeds")
+    # terms that no document has rule the exact window out, not what is near it
+    rare = F.slice(F.array_sort(F.filter(F.collect_list(F.struct("df", "term", "k")), lambda x: x["df"] > 0)), 1, 2)
+    ranked = ranked.groupBy("pid").agg(rare.alias("rare"), (F.min("df") > 0).alias("possible"))
+    seeds = staged(ranked.select("pid", "possible", F.size("rare").alias("roles"), F.posexplode("rare").alias("role", "x")).select("x.term", "pid", "x.k", "role", "roles", "possible"), "decon-seeds")
     wanted = within_bounds(seeds.select("term").distinct(), "term")
-    postings = docs.select("key", F.posexplode(word_list(F.col("text"))).alias("pos", "term")).join(wanted, "term")
-    return Index(phrases, seeds, staged(postings.select("term", "key", "pos"), "decon-postings"))
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", content_key("text"))
+    postings = tokens.select("row", F.posexplode("w").alias("pos", "term")).join(wanted, "term")
+    return Index(tokens, windows, terms.select("pid", "k", "term"), of, seeds, staged(postings.select("term", "row", "pos"), "decon-postings"))
 
 
-def hits(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs: (doc_id, text, key). One row per text with an occurring window: key, n_hit, items."""
-    index = build(docs.where("text is not null").select("key", "text"), items, length)
-    phrases = within_bounds(index.phrases.select("pid", "phrase", "len", "items"), "phrase")
-    found = index.candidates().join(phrases, "pid").groupBy("key").agg(F.collect_list(F.struct("start", "len", "phrase", "items")).alias("c"))
-    found = staged(found, "decon-found")
-    # one document stands for all of equal text: that of the smallest id
-    heads = docs.select("key", "doc_id").join(found.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id"))
-    found = found.join(heads, "key").withColumnRenamed("key", "_key")
-    texts = docs.join(found, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", word_list(F.col("text")).alias("w"), "c")
-    exact = texts.select("key", F.filter("c", lambda x: F.array_join(F.slice(F.col("w"), x["start"] + 1, x["len"]), " ") == x["phrase"]).alias("c")).where(F.size("c") > 0)
-    places = F.flatten(F.transform("c", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1)))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("c", lambda x: x["items"]))))
-    exact = exact.select("key", F.size(F.array_distinct(places)).cast("long").alias("n_hit"), ids.alias("items")).dropDuplicates(["key"])
-    return staged(exact, "decon-hits")
+def hits(index: Index) -> DataFrame:
+    """One row per row of the index with an occurring window: row, n_hit, items."""
+    found = staged(index.matches(), "decon-found")
+    places = F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))
+    n_hit = found.groupBy("row").agg(F.size(F.array_distinct(places)).cast("long").alias("n_hit"))
+    items = found.select("row", "pid").distinct().join(within_bounds(index.items, "item_id"), "pid").where("item_id is not null")
+    items = items.groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return n_hit.join(items, F.col("row") == F.col("_row"), "left").drop("_row")
 
 
 def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,39 +116,47 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, id_co
     comma-joined), contaminated (n_hit > 0), items.
 
     Null and empty texts have no words; items without words have no window; an item without id
-    counts for n_hit alone; items of equal id are one. Repeated documents each have their row.
-    Without documents the result is empty, without items nothing is contaminated.
+    counts for n_hit alone; items of equal id are one. Repeated documents each have their row;
+    texts of any length are read whole; other columns of either table are ignored, whatever
+    their names. Without documents the result is empty, without items nothing is contaminated.
     """
-    docs = _keyed(docs, id_col, text_col)
-    found = hits(docs, items, length).withColumnRenamed("key", "_key")
-    out = docs.select("doc_id", "key", word_count(F.col("text")).alias("n_words")).join(found, F.col("key") == F.col("_key"), "left")
+    index = build(docs, items, length, id_col, text_col)
+    found = hits(index).withColumnRenamed("row", "_row")
+    out = index.tokens.select("row", "doc_id", "n_words").join(found, F.col("row") == F.col("_row"), "left")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
 
 
 def clean(docs: DataFrame, items: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a window of an item; columns as they are."""
-    found = hits(_keyed(docs, id_col, text_col), items, length).select(F.col("key").alias("_key"))
-    return docs.join(found, content_key(text_col) == F.col("_key"), "left_anti")
+    """``docs`` without the documents that hold a window of an item; columns as they are, whatever
+    their names. Null texts and texts without words stay; of repeated rows all stay or go; an
+    empty table of either kind changes nothing."""
+    index = build(docs, items, length, id_col, text_col)
+    hit = index.matches().select("row").distinct().withColumnRenamed("row", "_row")
+    taken = fresh("key", docs)
+    bad = index.tokens.select("row", "key").join(hit, F.col("row") == F.col("_row"), "left_semi").select(F.col("key").alias(taken)).distinct()
+    bad = within_bounds(staged(bad, "decon-bad"))
+    return docs.join(bad, content_key(text_col) == F.col(taken), "left_anti")
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 5, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, apart): a window's two rarest terms stand in the document as in the
-    window, but for ``apart`` words more or fewer between them (0: in place), ``slop`` at most.
-    The least ``apart`` of each document and item. Windows of one term match where it stands."""
-    docs = _keyed(docs, id_col, text_col)
-    index = build(docs.where("text is not null").select("key", "text"), items, length)
-    begin = index.postings.join(within_bounds(index.seeds, "term"), "term").select("key", "pid", "role", "roles", (F.col("pos") - F.col("k")).alias("start")).distinct()
-    one, two = begin.where("role = 0"), begin.where("role = 1").select("key", "pid", F.col("start").alias("other"))
+    """(doc_id, item_id, apart): a window's two rarest terms, of those that any document has, stand
+    in the document as in the window, but for ``apart`` words more or fewer between them (0: in
+    place), ``slop`` at most. The least ``apart`` of each document row and item. Windows of one
+    such term match where it stands. Null texts, items without words or id match nothing; other
+    columns are ignored."""
+    index = build(docs, items, length, id_col, text_col)
+    begin = index.begins(index.seeds).distinct()
+    one, two = begin.where("role = 0"), begin.where("role = 1").select("row", "pid", F.col("start").alias("other"))
     # places are met by slop-wide cells, own and next, so that a common term's list isn't crossed whole
     width = slop + 1
     one = one.withColumn("cell", F.explode(F.array(*[F.floor(F.col("start") / width) + i for i in (-1, 0, 1)])))
     two = two.withColumn("cell", F.floor(F.col("other") / width))
-    near = one.where("roles = 2").join(two, ["key", "pid", "cell"]).select("key", "pid", F.abs(F.col("start") - F.col("other")).alias("apart")).where(F.col("apart") <= slop)
-    near = near.unionAll(one.where("roles = 1").select("key", "pid", F.lit(0).alias("apart")))
-    near = near.groupBy("key", "pid").agg(F.min("apart").alias("apart")).join(index.phrases.select("pid", F.explode("items").alias("item_id")), "pid")
-    near = near.groupBy("key", "item_id").agg(F.min("apart").alias("apart")).withColumnRenamed("key", "_key")
-    return docs.select("doc_id", "key").join(near, F.col("key") == F.col("_key")).select("doc_id", "item_id", "apart")
+    near = one.where("roles = 2").join(two, ["row", "pid", "cell"]).select("row", "pid", F.abs(F.col("start") - F.col("other")).alias("apart")).where(F.col("apart") <= slop)
+    near = near.unionAll(one.where("roles = 1").select("row", "pid", F.lit(0).alias("apart")))
+    near = near.groupBy("row", "pid").agg(F.min("apart").alias("apart")).join(within_bounds(index.items, "item_id"), "pid").where("item_id is not null")
+    near = near.groupBy("row", "item_id").agg(F.min("apart").alias("apart")).withColumnRenamed("row", "_row")
+    return index.tokens.select("row", "doc_id").join(near, F.col("row") == F.col("_row")).select("doc_id", "item_id", "apart")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
