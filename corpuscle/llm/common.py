@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,15 +14,18 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own,
+    in local mode only, where driver and executors are one process; elsewhere that is an error."""
+    context = spark.sparkContext
+    got = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if got:
         return got.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuscle-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="corpuscle-")
+    atexit.register(shutil.rmtree, own, True)
+    context.setCheckpointDir(own)
+    return context.getCheckpointDir().rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -54,12 +59,9 @@ def fold_of(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
-#: Edges up to which components are found in one task: some tens of MB.
-FEW_EDGES = 250_000
-
-
-def _union_find(edges: DataFrame) -> DataFrame:
-    """(u, v) -> (node, comp), all edges in one task; only for a checked number of them."""
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(u, v), u > v: of each task's edges the forest that joins the same nodes, every node by
+    its component's smallest one. A task holds its own edges only, by u."""
     kind = edges.schema["u"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,19 +81,21 @@ def _union_find(edges: DataFrame) -> DataFrame:
             y = x
             while root[y] != y:
                 y = root[y]
-            out.append(y)
+            if x != y:
+                out.append((x, y))
         if arrow is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(list(root), arrow), pa.array(out, arrow)], ["node", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], arrow), pa.array([y for _, y in out], arrow)], ["u", "v"])
 
-    return edges.select("u", "v").coalesce(1).mapInArrow(run, f"node {kind}, comp {kind}")
+    return edges.select("u", "v").mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b", name: str = "cc") -> DataFrame:
     """Connected components of an undirected edge table: ``(node, comp)``, comp the smallest node
-    reachable. Up to FEW_EDGES edges are joined in one task. More take alternating large-star and
-    small-star steps (Kiveris et al. 2014); every step is a map-side combined minimum and one
-    join, staged, so that no component meets in one task and the plan does not grow. Both give
-    the same. Nodes without edges are absent. An empty table gives an empty table.
+    reachable. Each task contracts its own edges to a forest, then alternating large-star and
+    small-star steps (Kiveris et al. 2014) join the forests; every step is a map-side combined
+    minimum and one join, staged, so that no component meets in one task and the plan does not
+    grow. Nodes without edges are absent; null ends are no nodes; an empty table gives an empty
+    table.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -100,21 +104,20 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", name: str = "cc
     def state(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    e = staged(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u > v").distinct(), name)
+    e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u > v").distinct()
+    e = staged(_contracted(e), name)
     was = state(e)
-    if was[0] <= FEW_EDGES:
-        return _union_find(e)
-    while True:
+    while was[0]:
         near = both(e)
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
+        large = near.join(least, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large, name)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
+        least = large.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"))
+        small = large.join(least, F.col("u") == F.col("_u")).select("u", "v", "m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionAll(small.select("u", F.col("m").alias("v"))).distinct()
         e = staged(small, name)
         now = state(e)
         if now == was:
             break
         was = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
