@@ -68,7 +68,7 @@ class Index:
         both = begin.groupBy("row", "pid", "start").agg(F.bit_or(F.col("role") + 1).alias("bits"), F.first("roles").alias("roles"))
         found = staged(both.where(F.col("bits") == F.when(F.col("roles") == 2, 3).otherwise(1)).select("row", "pid", "start"), "decon-begins")
         # all lists of the rows that are left, met with the window's terms in their places
-        rows = found.select("row").distinct().withColumnRenamed("row", "_row")
+        rows = within_bounds(staged(found.select(F.col("row").alias("_row")).distinct(), "decon-rows"))
         lists = self.tokens.select("row", "w").join(rows, F.col("row") == F.col("_row"), "left_semi").select("row", F.posexplode("w").alias("pos", "term"))
         want = found.join(within_bounds(self.terms, "term"), "pid").select("row", "pid", "start", (F.col("start") + F.col("k")).alias("pos"), "term")
         met = want.join(lists, ["row", "pos", "term"]).groupBy("row", "pid", "start").agg(F.count("*").alias("met"))
