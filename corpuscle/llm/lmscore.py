@@ -1,8 +1,9 @@
 """Language-model scoring by context-tree weighting, beside a unigram base score.
 
-The model predicts a text's UTF-8 bytes, each as eight binary decisions. Every decision has a
-context tree of its own: the root knows the bits decided so far, a node at depth d also the last
-d bytes, DEPTH at most. Each node keeps a Krichevsky-Trofimov estimate of its counts; bottom-up
+The model predicts a text's UTF-8 bytes and then its end, each as eight binary decisions; the end,
+and what stands before a text, is a byte that UTF-8 never has, so that the probabilities of all
+texts sum to one at most. Every decision has a context tree of its own: the root knows the bits
+decided so far, a node at depth d also the last d bytes, DEPTH at most. Each node keeps a Krichevsky-Trofimov estimate of its counts; bottom-up
 its weighted probability is half its own estimate and half the product of its children's, and a
 prediction mixes the estimates of all depths along the path by the posterior weights this gives
 (Willems et al. 1995). A decision that training never saw after a context is predicted as after
@@ -10,10 +11,10 @@ the longest part of it where it was seen. All training documents are counted.
 
 The tree grows with the corpus and is never in one place. Texts are cut into blocks of about
 BLOCK bytes; each block's distinct codes (context and byte) are a written table, and so are
-their sums over all blocks. Codes whose contexts end in the same three bytes meet in one task,
-which weights that part of the tree bottom-up; sums by the last two bytes go to the driver
-(65,536 contexts at most), which weights the depths up to two and broadcasts them. The tasks
-then come down to the probability of each code, which joins the blocks that have it.
+their sums over all blocks. Codes whose contexts end in the same two bytes meet in one task,
+which weights that part of the tree bottom-up; sums by the last byte go to the driver (256
+contexts at most), which weights the depths up to one and broadcasts them. The tasks then come
+down to the probability of each code, which joins the blocks that have it.
 
 The base score needs the count of every word. The FREQUENT most frequent words are broadcast;
 other words meet their counts in a join.
@@ -33,19 +34,28 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import fold_of, staged
 from .wordhash import pieces, raw, words
 
-DEPTH = 6
-BLOCK = 8 << 20
+DEPTH = 4
+#: Texts end with it and begin after it; no byte of UTF-8.
+MARK = 0xFF
+BLOCK = 32 << 20
 #: Codes weighted in one task, about.
 PART = 200_000
 FREQUENT = 1 << 16
 
 
+def marked(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row offsets with MARK after each text."""
+    return np.insert(b, o[1:], MARK), o + np.arange(len(o))
+
+
 def _codes(b: np.ndarray, o: np.ndarray, depth: int = 2) -> np.ndarray:
-    """Each byte with the ``depth`` before it in its text (0 where there is none), as one number."""
+    """Each byte with the ``depth`` before it in its text (MARK where there is none), as one number."""
     at = np.arange(len(b)) - np.repeat(o[:-1], np.diff(o))
     out = b.astype(np.int64)
     for k in range(1, depth + 1):
-        out[k:] |= np.where(at[k:] >= k, b[:-k], 0).astype(np.int64) << 8 * k
+        before = np.full(len(b), MARK, np.int64)
+        before[k:] = np.where(at[k:] >= k, b[:-k], MARK)
+        out |= before << 8 * k
     return out
 
 
@@ -93,8 +103,8 @@ def count_codes(docs: DataFrame) -> DataFrame:
                     if len(have[0]):
                         yield out()
                     at, have = int(block[lo]), none
-                o = offs[lo : hi + 1] - offs[lo]
-                codes, kept = _codes(data[offs[lo] : offs[hi]], o, DEPTH), np.repeat(~held[lo:hi], np.diff(o))
+                bytes_, o = marked(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                codes, kept = _codes(bytes_, o, DEPTH), np.repeat(~held[lo:hi], np.diff(o))
                 other = np.unique(codes[~kept])
                 have = _add(_add(have, codes[kept]), other, np.zeros(len(other), np.int64))
         if len(have[0]):
@@ -172,20 +182,19 @@ class Level:
 
 
 def lower(code: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> list[Level]:
-    """Levels 3 to ``depth`` from the counts of whole subtrees, weighted bottom-up."""
+    """Levels 2 to ``depth`` from the counts of whole subtrees, weighted bottom-up."""
     code, n = code[n > 0], n[n > 0]
     key, bit = _path(code)
     levels = [Level(*_summed(key.ravel(), (n * (1 - bit)).ravel(), (n * bit).ravel()))]
-    for d in range(depth - 1, 2, -1):
+    for d in range(depth - 1, 1, -1):
         levels.insert(0, Level(*levels[0].up(d)))
     return levels
 
 
 def upper(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> list[Level]:
-    """Levels 0 to 2 from the sums that ``lower`` gives for level 2, ready to come down."""
+    """Levels 0 and 1 from the sums that ``lower`` gives for level 1, ready to come down."""
     levels = [Level(*_summed(key, zeros, ones, below))]
-    for d in (1, 0):
-        levels.insert(0, Level(*levels[0].up(d)))
+    levels.insert(0, Level(*levels[0].up(0)))
     for d, level in enumerate(levels):
         level.mix(levels[d - 1] if d else None, d)
     return levels
@@ -194,7 +203,7 @@ def upper(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarra
 def probabilities(code: np.ndarray, n: np.ndarray, top: list[Level], depth: int = DEPTH) -> np.ndarray:
     """Log10 probability of each code's byte after its context; all counts of its subtree are here."""
     levels = [*top, *lower(code, n, depth)]
-    for d in range(3, depth + 1):
+    for d in range(2, depth + 1):
         levels[d].mix(levels[d - 1], d)
     key, bit = (x.ravel() for x in _path(code))
     p, left = np.full(len(key), 0.5), np.arange(len(key))
@@ -212,90 +221,42 @@ def score_codes(codes: DataFrame) -> DataFrame:
     """(code, lp) from (code, n): log10 probabilities by the tree of all codes with n > 0."""
     spark = codes.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-codes.count() // PART))
-    # subtrees by the last three bytes of the context
-    codes = codes.select("code", "n").repartition(parts, F.shiftright("code", 8).bitwiseAND(F.lit((1 << 24) - 1)))
+    # subtrees by the last two bytes of the context
+    codes = codes.select("code", "n").repartition(parts, F.shiftright("code", 8).bitwiseAND(F.lit((1 << 16) - 1)))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         return tuple(np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in lower(*whole(batches))[0].up(2)], ["key", "zeros", "ones", "below"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in lower(*whole(batches))[0].up(1)], ["key", "zeros", "ones", "below"])
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, n = whole(batches)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(probabilities(code, n, top.value))], ["code", "lp"])
 
     sums = codes.mapInArrow(climb, "key long, zeros long, ones long, below double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
-    sums = sums.toPandas()  # 255 decisions after 65,536 contexts at most
+    sums = sums.toPandas()  # 255 decisions after 256 contexts at most
     top = spark.sparkContext.broadcast(upper(*(sums[c].to_numpy(t) for c, t in (("key", np.int64), ("zeros", np.int64), ("ones", np.int64), ("below", np.float64)))))
     return codes.mapInArrow(descend, "code long, lp double")
 
 
-class ContextTree:
-    """The tree of depth two as dense arrays: log10 probabilities of every byte after every context,
-    from counts of (context, byte). Not what is scored with; tests hold the recursion against it."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        code = code.astype(np.int64)
-        seen, row = np.unique(code >> 8, return_inverse=True)
-        deep = np.zeros((len(seen), 512))
-        np.add.at(deep, (row, 256 + (code & 255)), n)
-        mid = np.zeros((256, 512))
-        np.add.at(mid, seen & 255, deep)
-        levels = [mid.sum(0, keepdims=True), mid, deep]
-        for s in levels:
-            for i in range(255, 0, -1):
-                s[:, i] = s[:, 2 * i] + s[:, 2 * i + 1]
-        nodes = np.arange(1, 256)
-        kt, ln_e = [], []
-        for s in levels:
-            a, b = s[:, 2 * nodes], s[:, 2 * nodes + 1]
-            kt.append((b + 0.5) / (a + b + 1))  # of a one
-            ln_e.append(ln_gamma(a + 0.5) + ln_gamma(b + 0.5) - ln_gamma(a + b + 1) - np.log(np.pi))
-        below = np.zeros((256, 255))
-        np.add.at(below, seen & 255, ln_e[2])
-        stay1 = 1 / (1 + np.exp(np.clip(below - ln_e[1], -700, 700)))  # weight of stopping at depth 1
-        ln_w1 = np.logaddexp(ln_e[1], below) + np.log(0.5)
-        used = mid[:, 1] > 0
-        stay0 = 1 / (1 + np.exp(np.clip(ln_w1[used].sum(0, keepdims=True) - ln_e[0], -700, 700)))
-        # predictions of a one at each node of each context: seen to depth 2, to 1, not at all
-        p0 = kt[0]
-        q1 = kt[1]  # depth 1 as the deepest seen
-        p2 = stay0 * p0 + (1 - stay0) * (stay1[seen & 255] * kt[1][seen & 255] + (1 - stay1[seen & 255]) * kt[2])
-        p1 = stay0 * p0 + (1 - stay0) * q1
-        self.rows = np.concatenate([self._bytes(p2), self._bytes(p1), self._bytes(p0)]).astype(np.float32)
-        self.row = np.full(1 << 16, len(self.rows) - 1, np.int32)
-        last = np.arange(1 << 16) & 255
-        self.row[used[last]] = len(seen) + last[used[last]]
-        self.row[seen] = np.arange(len(seen))
-
-    @staticmethod
-    def _bytes(p: np.ndarray) -> np.ndarray:
-        """From the nodes' decisions to log10 probabilities of the 256 bytes."""
-        one, zero = np.log10(p), np.log10(1 - p)
-        out = np.zeros((len(p), 256))
-        byte = np.arange(256)
-        for level in range(8):
-            node = (1 << level | byte >> (8 - level)) - 1
-            out += np.where(byte >> (7 - level) & 1, one[:, node], zero[:, node])
-        return out
-
-
 def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
-    score (log10 probability of the text's bytes by the context tree), bits_per_byte (null for
-    an empty text).
+    score (log10 probability of the text's bytes and its end by the context tree), bits_per_byte
+    (of score, over the bytes and the end).
 
     Trained on the documents whose crc32(id as text) mod ``folds`` is not ``held_fold``; a null
-    id has no fold and is trained on. Null texts count as empty: one token (the end), score 0.
-    Repeated rows count as often as they stand there. Without training documents every byte has
-    probability 1/256. An empty table gives an empty result.
+    id has no fold and is trained on. Null texts count as empty: one token (the end), and the end
+    alone is scored. Repeated rows count as often as they stand there. Without training documents
+    every byte has probability 1/256. Texts of any length are scored whole; other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     held_out = F.coalesce(fold_of("doc_id", folds) == held_fold, F.lit(False))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("held_out", held_out).withColumn("node", F.conv(F.substring(F.md5("text"), 1, 16), 16, -10).cast("long"))
+    # rows have a number of their own: copies of one text are not one key
+    docs = docs.withColumn("held_out", held_out).withColumn("row", F.monotonically_increasing_id())
     docs = staged(in_blocks(docs), "lm-texts")
     train = docs.where("not held_out")
     found = staged(count_codes(docs), "lm-codes")
@@ -319,7 +280,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col:
         order = np.argsort(code)
         code, lp_of = code[order], lp_of[order]
         out = []
-        for batch in block.select(["doc_id", "held_out", "node", "text"]).combine_chunks().to_batches():
+        for batch in block.select(["doc_id", "held_out", "row", "text"]).combine_chunks().to_batches():
             texts = batch.column(3)
             n_words, known, base, score, size, rare, rare_n = ([] for _ in range(7))
             for w in words(texts):
@@ -330,10 +291,11 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col:
                 n_words.append(n)
                 known.append(np.bincount(row[common], minlength=w.rows))
                 base.append(np.bincount(row[common], logs[at[common]], w.rows))
-                lp = lp_of[np.searchsorted(code, _codes(w.data, w.row_bytes, DEPTH))]
+                data, at_row = marked(w.data, w.row_bytes)
+                lp = lp_of[np.searchsorted(code, _codes(data, at_row, DEPTH))]
                 total = np.concatenate([[0], np.cumsum(lp)])
-                score.append(total[w.row_bytes[1:]] - total[w.row_bytes[:-1]])
-                size.append(np.diff(w.row_bytes))
+                score.append(total[at_row[1:]] - total[at_row[:-1]])
+                size.append(np.diff(at_row))
                 # other words, each once a row with its count
                 h, r = h[~common], row[~common]
                 order = np.lexsort((h, r))
@@ -346,20 +308,17 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col:
             cat = np.concatenate
             offsets = pa.array(cat([[0], np.cumsum(cat(rare_n))]).astype(np.int32))
             rare = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(cat(x)) for x in zip(*rare)], fields=list(rare_type)))
-            out.append(pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cat(n_words)), pa.array(cat(known)), pa.array(cat(base)), pa.array(cat(score)), pa.array(cat(size)), rare], ["doc_id", "held_out", "node", "n_words", "known", "base", "score", "size", "rare"]))
+            out.append(pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cat(n_words)), pa.array(cat(known)), pa.array(cat(base)), pa.array(cat(score)), pa.array(cat(size)), rare], ["doc_id", "held_out", "row", "n_words", "known", "base", "score", "size", "rare"]))
         return pa.Table.from_batches(out)
 
-    schema = f"doc_id {id_type}, held_out boolean, node long, n_words long, known long, base double, score double, size long, rare array<struct<h:bigint,k:int>>"
+    schema = f"doc_id {id_type}, held_out boolean, row long, n_words long, known long, base double, score double, size long, rare array<struct<h:bigint,k:int>>"
     rows = staged(docs.groupBy("block").cogroup(probs.groupBy("block")).applyInArrow(run, schema), "lm-rows")
-    met = rows.select("node", F.inline("rare")).join(vocabulary, "h", "left")
-    met = met.groupBy("node").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("rest_known"))
-    # equal texts have each added the same: their sum over the number of copies is one text's
-    copies = rows.groupBy("node").agg(F.count("*").alias("copies"))
-    met = met.join(copies, "node").select(F.col("node").alias("_node"), (F.col("rest") / F.col("copies")).alias("rest"), (F.coalesce("rest_known", F.lit(0)) / F.col("copies")).cast("long").alias("rest_known"))
-    out = rows.drop("rare").join(met, F.col("node") == F.col("_node"), "left")
+    met = rows.select("row", F.inline("rare")).join(vocabulary, "h", "left")
+    met = met.groupBy(F.col("row").alias("_row")).agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("rest_known"))
+    out = rows.drop("rare").join(met, F.col("row") == F.col("_row"), "left")
     base = F.col("base") + F.coalesce("rest", F.lit(0.0)) - F.lit(norm) * F.col("n_words") + F.lit(end)
     known = F.col("known") + F.coalesce("rest_known", F.lit(0)) + int(ends > 0)
-    bits = F.when(F.col("size") > 0, -F.col("score") * float(np.log2(10)) / F.col("size"))
+    bits = -F.col("score") * float(np.log2(10)) / F.col("size")
     return out.select("doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), known.cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
 
 
