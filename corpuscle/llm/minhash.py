@@ -279,12 +279,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     signed = docs.where("text is not null").select("doc_id", "node", "text").mapInArrow(run, f"doc_id {id_type}, node binary, bands array<long>, sketch array<long>")
     nodes = staged(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-nodes")
     sketches = nodes.select("node", "sketch")
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
+    member = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     member = staged(member.join(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "near-members")
     # first in a bucket: what shares most buckets with most others, as the text that copies stem from does
     degree = member.groupBy("node").agg(F.sum("n").alias("degree"))
     hubs = member.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
-    member = staged(member.select("bucket", "node").join(hubs, "bucket"), "near-buckets")
+    member = staged(member.select("bucket", "band", "node").join(hubs, "bucket"), "near-buckets")
     need = degree.join(nodes.select("node", "least"), "node").select(F.col("node").alias("_node"), "least")
     texts = docs.join(need, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text").dropDuplicates(["node"])
     texts = staged(texts, "near-texts")
@@ -297,12 +297,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     # pairs of which one is outside the component of the bucket's hub
     at = member.join(comp.select("node", F.col("comp").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
     at = at.join(comp.select(F.col("node").alias("hub"), F.col("comp").alias("hc")), "hub", "left").withColumn("out", F.col("c") != F.coalesce("hc", "hub"))
-    at = staged(at.where("node != hub").select("bucket", "node", "c", "out"), "near-at")
+    at = staged(at.where("node != hub").select("bucket", "band", "node", "c", "out"), "near-at")
     left = at.where("out").select("bucket").distinct()
-    at = at.join(left, "bucket", "left_semi").join(sketches, "node")
-    x = at.where("out").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("sketch").alias("sketch_x"))
+    at = at.join(left, "bucket", "left_semi").join(nodes.select("node", "sketch", "bands"), "node")
+    x = at.where("out").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("sketch").alias("sketch_x"), F.col("bands").alias("bands_x"))
     both = (x["cx"] != at["c"]) & (~at["out"] | (x["x"] < at["node"])) & may_link("sketch_x", "sketch", threshold)
-    pairs = staged(x.join(at, (x["bucket"] == at["bucket"]) & both).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), "near-pairs")
+    # a pair counts in the first of the buckets that it shares
+    first = F.array_position(F.zip_with("bands_x", "bands", lambda s, t: s == t), True) == at["band"] + 1
+    pairs = x.join(at, (x["bucket"] == at["bucket"]) & both & first).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+    # two that are outside in one bucket and not in another may still come twice
+    pairs = staged(pairs.distinct(), "near-pairs")
     found = staged(verify(pairs, texts, held, threshold), "near-links")
     # components of components: only the new links count
     label = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
