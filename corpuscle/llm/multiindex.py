@@ -175,10 +175,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     its component has no other. Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    x = F.col(vector_col)
-    norm2 = F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    fine = x.isNotNull() & (F.size(x) > 0) & norm2.isNotNull() & ~F.isnan(norm2) & (norm2 > 0) & (norm2 < float("inf"))
-    wide = x.cast("array<double>")
+    wide = F.col(vector_col).cast("array<double>")
+    # the greatest component; null if one is null, NaN if one is: both rule the vector out
+    most = F.aggregate(wide, F.lit(0.0), lambda s, v: F.when(s.isNull() | v.isNull(), F.lit(None)).otherwise(F.greatest(s, F.abs(v))))
+    fine = F.coalesce((F.size(wide) > 0) & ~F.isnan(most) & (most > 0) & (most < float("inf")), F.lit(False))
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(fine, wide).alias("x"))
     rows = rows.withColumn("node", F.unhex(F.md5(F.to_json(F.struct("x")).cast("binary")))).withColumn("node", F.when(F.col("x").isNotNull(), F.col("node")))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("x").alias("x"))

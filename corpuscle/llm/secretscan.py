@@ -9,14 +9,16 @@ hold it, and joins the findings back to all paths.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fold_of, shared_dir, staged
 
 
 @dataclass(frozen=True)
@@ -31,14 +33,15 @@ class Rule:
     flags: int = re.A
 
 
-#: The base kinds first, in their order; then what this operator adds.
+#: The base kinds first, in their order; then what this operator adds, with bounded beginnings, so
+#: that a text takes time in proportion to its length.
 RULES = (
     Rule("assign", 1, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, re.A | re.I),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 20),
     Rule("hex", 1, r"[0-9a-f]+", 24),
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]+@"),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,500}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,250}:[^\s/:@]{1,250}@"),
 )
 BASE = ("assign", "access", "hex")
 LEDGER = "blob binary, kind string, version int, spans array<struct<start:int,end:int>>"
@@ -52,12 +55,15 @@ def find(rule: Rule, text: str) -> list[dict]:
     return [{"start": m.start(), "end": m.end()} for m in re.compile(pattern, rule.flags).finditer(text) if len(m.group(rule.group)) >= rule.least]
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """(paths, ledger): paths has one row per document with doc_id and blob; the ledger has a row
-    for each blob and rule version seen so far, the given rows and the new ones.
+    for each blob and rule version seen so far, the given rows and the new ones (with ``stored``
+    the new ones alone, to be added to where the given ones are kept).
 
     Null texts count as empty. Null and repeated ids and repeated rows are paths of their own;
     equal texts are one blob. A ledger may have rows for blobs or versions no longer in use.
+    Texts of any length are scanned whole; other columns are ignored, whatever their names; an
+    empty table adds nothing to the ledger.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -82,7 +88,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 
     new = unseen.mapInArrow(run, LEDGER).dropDuplicates(["blob", "kind", "version"])
     new = staged(new, "secrets")
-    return paths, new if ledger is None else ledger.select("blob", "kind", "version", "spans").unionByName(new)
+    return paths, new if ledger is None or stored else ledger.select("blob", "kind", "version", "spans").unionByName(new)
 
 
 def report(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -102,8 +108,29 @@ def report(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES)
     return out.fillna(zero | {"spans": ""}).withColumn("base_sha256", F.coalesce("base_sha256", F.sha2(F.lit(""), 256))).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans")
 
 
+def keep(ledger: DataFrame, path: str) -> DataFrame:
+    """The ledger as stored in ``path``, to which the rows that it lacks are appended: what the next
+    run starts from. Rows of ``ledger`` that ``path`` has already are not written again."""
+    spark = ledger.sparkSession
+    try:
+        had = spark.read.schema(LEDGER).parquet(path)
+        ledger = ledger.join(had.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    ledger.select("blob", "kind", "version", "spans").write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(*scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Two runs: over an earlier state of the table (the documents whose crc32(id as text) is even),
+    whose ledger is stored, and over what came since; findings go to the paths of both."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    old = F.coalesce(fold_of("doc_id", 2) == 0, F.lit(False))
+    path = f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    before, ledger = scan(docs.where(old))
+    after, new = scan(docs.where(~old), keep(ledger, path), stored=True)
+    return report(before.unionAll(after), keep(new, path))
 
 
 def _spans_sql(nth: int, r: Rule) -> str:

@@ -80,7 +80,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int | None = None
 
     Null texts count as empty and, like all equal texts, form a group. Null or repeated ids and
     repeated rows each take a slot of their own; rows equal in id and text are interchangeable.
-    Row counts of any two shards differ by one at most. An empty table gives an empty result.
+    Row counts of any two shards differ by one at most. Texts of any length are one row; other
+    columns are ignored, whatever their names. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text)).alias("g"))

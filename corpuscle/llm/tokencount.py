@@ -53,6 +53,22 @@ class _Chunks(dict):
         return n
 
 
+def check_settings(spec: dict) -> None:
+    """Raises ValueError for a vocabulary file that this module would count otherwise than its
+    library: it must be byte-level BPE with the pre-tokeniser's pattern, without prefix space,
+    normaliser, dropout or word-end marks, and its added tokens plain strings."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    faults = [
+        (spec.get("normalizer") is not None, "a normalizer"),
+        (pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or bool(pre.get("add_prefix_space")), "another pre-tokenizer than plain ByteLevel"),
+        (model.get("type", "BPE") != "BPE" or bool(model.get("ignore_merges")), "another model than plain BPE"),
+        (any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")), "dropout or marks on subwords"),
+        (any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized")), "added tokens with flags"),
+    ]
+    if found := [what for bad, what in faults if bad]:
+        raise ValueError(f"the vocabulary file has {', '.join(found)}")
+
+
 class Counter:
     """Counts the tokens of texts as the vocabulary file's library does."""
 
@@ -62,6 +78,7 @@ class Counter:
         import regex
 
         spec = json.load(open(path, encoding="utf-8"))
+        check_settings(spec)
         alphabet = byte_alphabet()
         number = {c: b for b, c in alphabet.items()}  # a symbol's string to its number here
         self.rank: dict[int, int] = {}
@@ -158,9 +175,10 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 51
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     A null text counts as empty: 0 bytes, 0 tokens. Null and repeated ids and repeated rows each
-    give a row; other columns are ignored; an empty table gives an empty result. ``vocabulary``
-    is the path of a byte-level BPE file that every executor can open (byte_bpe_50k.json of the
-    public tokenizers by default); each worker reads it once.
+    give a row, texts of any length are counted whole; other columns are ignored, whatever their
+    names; an empty table gives an empty result. ``vocabulary`` is the path of a byte-level BPE file that every executor can open (byte_bpe_50k.json of the
+    public tokenizers by default); each worker reads it once, and refuses a file with other
+    settings than it counts by.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

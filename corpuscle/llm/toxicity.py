@@ -4,7 +4,9 @@ A document is a bag of sentences. A sentence's probability is a logistic functio
 (hashed into a fixed number of weights); the document's is the noisy-or of its sentences':
 1 - prod(1 - p). Only document labels are known: the weights are fitted to them through the
 noisy-or, on at most ``per_class`` labelled documents of each class, chosen by a hash of the
-id. All documents are scored whole, and the sentences whose own probability passes the
+id and weighted such that the classes keep their shares of all labels. In scoring, a sentence counts
+by what its words add to the probability of one without evidence, so that the number of harmless
+sentences makes no document toxic. All documents are scored whole, and the sentences whose own probability passes the
 threshold are located.
 """
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, fresh
 from .wordhash import NOT_ALNUM, Words, words
 
 BITS = 17
@@ -50,10 +52,11 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-5, least_docs: int = 4, least_z: float = 4.0) -> np.ndarray:
+def fit(texts: pa.Array, labels: np.ndarray, weight: np.ndarray | None = None, steps: int = 200, rate: float = 0.1, decay: float = 1e-5, least_docs: int = 4, least_z: float = 4.0) -> np.ndarray:
     """Weights, the bias last, by Adam on the noisy-or likelihood. A feature has a weight only if
     ``least_docs`` documents have it and its share of toxic documents differs from that of
-    others by ``least_z`` standard errors."""
+    others by ``least_z`` standard errors. ``weight``: of each document, 1 on average."""
+    weight = np.ones(len(labels)) if weight is None else weight
     f, s, d, n_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for w in words(texts, NOT_ALNUM):
         features, first, row = bags(w)
@@ -80,7 +83,7 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 200, rate: float = 0.1
         p = sigmoid(np.bincount(s, x[f], n_s) + x[-1])
         clean = np.bincount(d, np.log1p(-np.minimum(p, 1 - 1e-12)), n)  # log of the product of 1 - p
         pull = np.where(y > 0, -np.exp(clean) / np.maximum(-np.expm1(clean), 1e-9), 1.0)
-        gz = pull[d] * p / n
+        gz = (weight * pull)[d] * p / n
         g = np.append(np.bincount(f, gz[s], size), gz.sum()) + decay * np.append(x[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -88,17 +91,27 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 200, rate: float = 0.1
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Weights fitted on labelled documents outside the held-out fold (crc32(id) mod 3 = 1). A
-    document with several labels is toxic if one says so. Without labels the weights are 0."""
+    """Weights fitted on labelled documents outside the held-out fold (crc32(id) mod 3 = 1), at most
+    ``per_class`` of each class, each class weighted by its share of all such labels.
+
+    A document with several labels is toxic if one says so; null labels and ids don't count. Of
+    rows with one id the smallest text counts; null texts are empty. Without labels of both
+    classes, or without documents, the weights are 0. Other columns are never read."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic")).where(fold_of("_id", 3) != 1)
     order = F.xxhash64("_id", F.lit(11))
     chosen = [known.where(side).orderBy(order, "_id").limit(per_class) for side in ("toxic = 1", "toxic != 1")]
     chosen = F.broadcast(chosen[0].unionAll(chosen[1]))  # 2 * per_class rows of two numbers at most
-    sample = docs.join(chosen, F.col(id_col) == F.col("_id")).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col("toxic") == 1).cast("int").alias("y"), "_id").dropDuplicates(["_id"])
+    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = found.join(chosen, F.col("id") == F.col("_id")).groupBy("_id").agg(F.min("text").alias("text"), (F.max("toxic") == 1).cast("int").alias("y"))
+    every = known.agg(F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)), F.count("*")).first()
+    shares = (every[1] - every[0], every[0])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("_id")
-        return pa.table({"w": [fit(t.column("text").combine_chunks(), t.column("y").to_numpy())]})
+        y = t.column("y").to_numpy()
+        have = np.bincount(y, minlength=2)
+        weight = np.array([shares[k] / max(have[k], 1) for k in (0, 1)])[y]
+        return pa.table({"w": [fit(t.column("text").combine_chunks(), y, weight / max(weight.mean(), 1e-12))]})
 
     got = sample.withColumn("_all", F.col("y") * 0).groupBy("_all").applyInArrow(run, "w array<double>").collect()
     return np.array(got[0]["w"]) if got else fit(pa.array([], pa.string()), np.zeros(0))
@@ -108,18 +121,20 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, text_col
     """``docs`` with score, predicted (score >= threshold) and sentences: start and end (UTF-8
     bytes, of the words) and score of those that pass the threshold by themselves.
 
-    A null text, or one without words, has score 0. Other columns are carried along; the new
-    columns' names start with ``prefix``, and a column of ``docs`` of the same name gives way.
+    A null text, or one without words, has score 0. Repeated rows are scored each, texts of any
+    length whole; an empty table gives an empty result. Other columns are carried along, whatever
+    their names; the new ones are the last three, their names start with ``prefix``, and with
+    underscores before it where there is such a column already.
     """
     held = docs.sparkSession.sparkContext.broadcast(weights)
-    added = [f"{prefix}{n}" for n in ("score", "predicted", "sentences")]
-    docs = docs.drop(*[n for n in added if n != text_col])
+    added = [fresh(f"{prefix}{n}", docs) for n in ("score", "predicted", "sentences")]
     names = docs.columns
     at = names.index(text_col)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = held.value
+        none = sigmoid(x[-1:])[0]
         for b in batches:
             out = np.zeros(b.num_rows)
             rows: list[list] = [[] for _ in range(b.num_rows)]
@@ -132,6 +147,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, text_col
                 sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, features.shape[1])))
                 pair = np.unique(np.tile(sentence, 3)[hot] << BITS | feature[hot])
                 p = sigmoid(np.bincount(pair >> BITS, x[pair & ((1 << BITS) - 1)], len(first)) + x[-1])
+                p = np.maximum(p - none, 0) / (1 - none)
                 out[w.first : w.first + w.rows] = -np.expm1(np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), w.rows))
                 last = np.append(first[1:], features.shape[1]) - 1
                 for i in np.flatnonzero(p >= threshold):
@@ -140,7 +156,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, text_col
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array((out >= threshold).astype(np.int32)), pa.array(rows, spans)], names=[*names, *added])
 
     kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.mapInArrow(run, f"{kinds}, {added[0]} double, {added[1]} int, {added[2]} array<struct<start:bigint,end:bigint,score:double>>")
+    return docs.mapInArrow(run, f"{kinds}, `{added[0]}` double, `{added[1]}` int, `{added[2]}` array<struct<start:bigint,end:bigint,score:double>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

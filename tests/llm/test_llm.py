@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscle.llm import common, decontamination, lmscore, minhash, mixing, multiindex, secretscan, sharding, suffixes, tokencount, toxicity
 
@@ -512,7 +513,10 @@ def test_toxicity(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, score string")
     lab = spark.createDataFrame(labels + [(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
     w = toxicity.train(d, lab)
-    got = {r.doc_id: r for r in toxicity.score(d, w).collect()}
+    scored = toxicity.score(d, w)
+    assert scored.columns == ["doc_id", "text", "score", "_score", "predicted", "sentences"]
+    assert {r.score for r in scored.select("score").distinct().collect()} == {"x"}
+    got = {r.doc_id: r for r in scored.select("doc_id", F.col("_score").alias("score"), "predicted", "sentences").collect()}
     test = [(got[i].predicted, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum(p == y for p, y in test) / len(test) > 0.97
     assert all(0 <= r.score <= 1 for r in got.values()) and got[1000].score == got[1001].score == 0
@@ -521,6 +525,19 @@ def test_toxicity(spark):
     assert toxicity.train(d.limit(0), lab).shape == w.shape and toxicity.score(d.limit(0), w).count() == 0
     kept = toxicity.score(d, w, prefix="_t_")
     assert kept.columns[:3] == d.columns
+    # a very long clean document is not rejected for its length
+    clean = spark.createDataFrame([(5000, ". ".join(" ".join(rng.choice(vocab) for _ in range(8)) for _ in range(3000)))], "doc_id long, text string")
+    assert toxicity.score(clean, w).first().score < 0.7
+
+
+def test_sampled_classes_keep_their_shares(spark):
+    """A bound on the rows of each class doesn't turn the classes' shares into one half each."""
+    rng = random.Random(5)
+    rows = [(d, " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(20)) + (" vile" if d % 20 == 0 else "") + ".") for d in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 20 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    bias = [toxicity.train(d, lab, per_class=k)[-1] for k in (10_000, 100)]
+    assert abs(bias[0] - bias[1]) < 1.5
 
 
 # ---- 10
@@ -568,9 +585,130 @@ def test_mixing(spark, docs, empty):
     for r in mixed:
         taken[r.source] += len(words(r.text))
     assert {s: n for s, n in taken.items()} == {s: n for s, rs in by.items() if (n := sum(r.taken for r in rs))}
+    # whole documents alone: texts are as they were, each source within half a document of its target
+    texts = {x[1] for x in corpus()}
+    whole = mixing.mix(docs, whole_documents=True).collect()
+    assert all(r.text in texts for r in whole)
+    words_of = collections.Counter()
+    for r in whole:
+        words_of[r.source] += len(words(r.text))
+    for src, rs in by.items():
+        assert abs(words_of[src] - rs[0].target) <= max(r["size"] for r in rs) / 2 + 1
     assert mixing.mix_table(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+# ---- odd tables, all operators
+
+
+CLASH = "size key _key copy_no row _row w node bands bucket h n g shard slot score predicted sentences blob kinds term pid source_size target text_crc32 kept class_id links v x".split()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, an empty and a very long text, repeated rows, and columns named as those inside the operators."""
+    rng = random.Random(11)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(200_000)) + " eyJ" + "a" * 40_000 + " " + "b" * 40_000
+    rows = [(1, "one two three four five six seven"), (2, None), (3, ""), (4, long), (5, long), (None, "one two three four five six seven"), (1, "one two three four five six seven"), (None, None), (6, "é ü 😀 " * 30), (7, " \t\n ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"source": F.lit(None).cast("string"), "lang": F.lit("en")})
+    return df.withColumns({c: F.lit(7) for c in CLASH}).coalesce(2).cache(), rows
+
+
+OPERATORS = {
+    "repeats": lambda d, items, labels: suffixes.repeats(d),
+    "secrets": lambda d, items, labels: secretscan.report(*secretscan.scan(d)),
+    "near": lambda d, items, labels: minhash.near_duplicates(d),
+    "lm": lambda d, items, labels: lmscore.score_documents(d),
+    "decontamination": lambda d, items, labels: decontamination.contamination(d, items),
+    "tokens": lambda d, items, labels: tokencount.count_tokens(d),
+    "sharding": lambda d, items, labels: sharding.shard_documents(d),
+    "toxicity": lambda d, items, labels: toxicity.score(d, toxicity.train(d, labels)),
+    "mixing": lambda d, items, labels: mixing.mix_table(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_tables(spark, odd, name):
+    d, rows = odd
+    items = spark.createDataFrame([(1, "two three four", 1), (None, None, 2), (2, "", 3)], "item_id long, text string, key int")
+    labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1)], "doc_id long, toxic int")
+    got = OPERATORS[name](d, items, labels).collect()
+    if name == "repeats":
+        # the two copies of the long text alone; 37 repeats of three words are long enough, but stand in one text
+        assert {(r.doc_id, r.n_repeated, r.n_words) for r in got} == {(4, 200_002, 200_002), (5, 200_002, 200_002)}
+        return
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+    if name == "near":
+        assert by[5][0].class_id == 4 and by[2][0].class_id == 2 and by[1][0].class_rows == 3
+    if name == "decontamination":
+        assert [r.n_hit for r in by[1]] == [3, 3] and by[4][0].n_words == 200_002 and by[2][0].n_words == 0
+    if name == "sharding":
+        assert len({r.shard for r in by[4] + by[5]}) == 1 or len(got) <= 16
+    if name == "mixing":
+        assert by[4][0]["size"] == 200_002 and by[2][0].taken == 0
+
+
+def test_odd_tables_of_stages(spark, odd, tmp_path):
+    import corpus_pipeline as p
+
+    d, rows = odd
+    spark.createDataFrame([(1, 0), (4, 0), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "é ü é ü"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {"toxicity": 10, "near_dedup": 7, "decontamination": 9}
+    for name, stage in p.STAGES:
+        out = stage(spark, d, str(tmp_path))
+        got = out.collect()
+        if name != "sharding":
+            assert out.columns == d.columns
+        if name in want:
+            assert len(got) in (want[name], want[name] + 1), name
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
+def test_vectors_with_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 1, 2), (2, [0.99, 0.01], 1, 2), (3, None, 1, 2), (None, [1.0, 0.0], 1, 2), (1, [1.0, 0.0], 1, 2), (4, [1e200, 2e200], 1, 2), (5, [1e-170, 0.0], 1, 2), (6, [1.0, 2.0], 1, 2)]
+    got = multiindex.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node int, cell int")).collect()
+    by = {r.vec_id: r for r in got}
+    assert len(got) == len(rows) and by[2].n_links == 4 and by[2].component_id == 1 and by[3].kept
+    # lengths are taken off before anything is squared
+    assert by[4].n_links == 1 and by[4].component_id == 4 and by[6].component_id == 4 and by[5].component_id == 1
+
+
+def test_vocabulary_with_other_settings_is_refused():
+    good = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "model": {"type": "BPE"}, "added_tokens": []}
+    tokencount.check_settings(good)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"type": "Unigram"}}, {"added_tokens": [{"content": "x", "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            tokencount.check_settings(good | change)
+
+
+def test_stored_ledger(spark, tmp_path):
+    """Two runs with the ledger stored between them find what one run finds, and scan nothing twice."""
+    d = spark.createDataFrame(SECRETS, "doc_id long, text string")
+    old = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    path = str(tmp_path / "ledger")
+    before, ledger = secretscan.scan(d.where(old))
+    held = secretscan.keep(ledger, path)
+    n = held.count()
+    after, new = secretscan.scan(d.where(~old), held, stored=True)
+    # the text of document 1 is that of 6, which the first run has seen
+    assert new.count() == len(secretscan.RULES) * len({t or "" for i, t in SECRETS if i is None or i % 2} - {t or "" for i, t in SECRETS if i is not None and i % 2 == 0})
+    held = secretscan.keep(new, path)
+    assert held.count() == n + new.count() and secretscan.keep(new, path).count() == n + new.count()
+    got = sorted(map(str, secretscan.report(before.unionAll(after), held).collect()))
+    assert got == sorted(map(str, secretscan.report(*secretscan.scan(d)).collect()))
+
+
+def test_staged_folders_are_released(spark, docs):
+    import os
+
+    at = common.staged(docs.select("doc_id"), "released")
+    folder = at.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.isdir(folder) and common.release(spark) > 0 and not os.path.exists(folder)
+
+
 # ---- pipeline and queries
 
 
