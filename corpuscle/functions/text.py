@@ -29,6 +29,31 @@ PHONE = r"\+?\d[\d\s().-]{7,}\d"
 URL = r"(?i)(https?://|www\.|linkedin\.com|github\.com)"
 
 
+#: What counts as white space at the ends of a text: also separators and the other scripts' spaces.
+BLANK = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends, of any kind."""
+    return F.regexp_replace(text, f"\\A{BLANK}|{BLANK}\\z", "")
+
+
+def nearest(x: Column, digits: int) -> Column:
+    """The nearest number with so many decimals to a double's exact value; of two the even one.
+    (``round`` and ``bround`` go by the shortest decimal that stands for the double.)"""
+    p = 10.0**digits
+    n = F.floor(x * p)
+    low, high = n / p, (n + 1) / p
+    return F.when(x - low < high - x, low).when(x - low > high - x, high).when(n % 2 == 0, low).otherwise(high)
+
+
+def g(x: Column) -> Column:
+    """A number of at most six significant digits without trailing zeros: 5.0 is 5, 2.50 is 2.5."""
+    digits = F.greatest(F.lit(0), F.lit(5) - F.floor(F.log10(F.greatest(F.abs(x), F.lit(1e-4)))).cast("int"))
+    shown = F.format_number(F.round(x * F.pow(F.lit(10.0), digits), 0) / F.pow(F.lit(10.0), digits), 6)
+    return F.regexp_replace(F.regexp_replace(shown, ",", ""), "\\.?0+$", "")
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
 
@@ -54,7 +79,7 @@ def heading_key(line: Column) -> Column:
 
 def first_line(text: Column, most: int = 60) -> Column:
     """The first line that is not blank, trimmed; null without one."""
-    return F.substring(F.get(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), F.lit(0)), 1, most)
+    return F.substring(F.get(F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"), lambda x: strip(x)), lambda x: x != ""), F.lit(0)), 1, most)
 
 
 def basename(path: Column) -> Column:
@@ -101,7 +126,7 @@ def json_object(text: Column) -> Column:
 def paragraphs(body: Column, least: int = 80) -> Column:
     """Paragraphs between blank lines; one follows the paragraph before it, on a line of its own,
     as long as that is shorter than ``least``."""
-    parts = F.filter(F.transform(F.split(body, "\\n\\s*\\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(body, "\\n\\s*\\n"), lambda x: strip(x)), lambda p: p != "")
     none = F.array().cast("array<string>")
     last = lambda acc: F.element_at(acc, -1)
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .text import tokens
@@ -35,3 +40,48 @@ def hashed(df: DataFrame, text_col: str, *keys: str) -> DataFrame:
     counts = each.groupBy(*keys, F.conv(F.substring(F.md5("f"), 31, 2), 16, 10).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     norms = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return counts.join(norms, list(keys)).select(*keys, "bucket", (F.col("n") / F.col("norm")).alias("w"))
+
+
+def embedded(df: DataFrame, text_col: str, model: Callable[[list[str]], list[list[float]]], batch: int = 128, out: str = "vector") -> DataFrame:
+    """Adds ``out``: unit vectors of a pluggable model, called on the executors with at most ``batch``
+    texts at a time. Null texts are embedded as empty ones; what the model raises fails the job,
+    as a score without vectors would be another score."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            texts = part.fillna("").tolist()
+            yield pd.Series([v for lo in range(0, len(texts), batch) for v in model(texts[lo : lo + batch])])
+
+    return df.withColumn(out, F.pandas_udf(run, "array<double>")(F.col(text_col))).withColumn(out, unit(F.col(out)))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int, block: int = 2048) -> DataFrame:
+    """(query_id, k, vec_id, sim): of a stated query set the k rows with the greatest dot product
+    (rounded to six places; ties by id), the query's own row left out. Both sides meet in blocks
+    of about ``block`` vectors, and each pair of blocks gives k rows a query, so that what is
+    shuffled grows with the blocks and not with the pairs. Null vectors meet nothing."""
+    kind = dict(rows.dtypes)[id_col]
+
+    def packed(df: DataFrame, name: str, n: int) -> DataFrame:
+        of = df.where(F.col(vector_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n // block)))).alias(name), F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
+        return of.groupBy(name).agg(F.collect_list("i").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_all"))
+
+    left, right = packed(queries, "q", queries.count()), packed(rows, "r", rows.count())
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for q_ids, q_all, r_ids, r_all in zip(part["q_ids"], part["q_all"], part["r_ids"], part["r_all"]):
+                q, r = (np.asarray(x, float).reshape(len(i), -1) for x, i in ((q_all, q_ids), (r_all, r_ids)))
+                ids = np.asarray(r_ids)
+                sims = np.round(q @ r.T, 6)
+                sims[np.asarray(q_ids)[:, None] == ids[None, :]] = -np.inf
+                out = []
+                for i, s in zip(q_ids, sims):
+                    at = np.lexsort((ids, -s))[:k]
+                    out.append(pd.DataFrame({"query_id": i, "vec_id": ids[at], "sim": s[at]}))
+                yield pd.concat(out)
+
+    met = left.join(right, F.lit(True)).select("q_ids", "q_all", "r_ids", "r_all")  # blocks of the stated queries with blocks of all rows
+    met = met.mapInPandas(best, f"query_id {kind}, vec_id {kind}, sim double").where(~F.col("sim").isin(float("-inf")))
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
+    return met.withColumn("k", nth.cast("long")).where(F.col("k") <= k).select("query_id", "k", "vec_id", "sim")

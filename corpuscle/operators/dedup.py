@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import plain
 
+from .ordering import settled
+
 #: Six blocks of the 64 bits; at most 3 flipped bits leave three blocks as they were.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 
@@ -28,23 +33,26 @@ def hamming(a: Column, b: Column) -> Column:
     return F.coalesce(F.bit_count(number(a).bitwiseXOR(number(b))), F.lit(64))
 
 
+def _fingerprints(plain_texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> int:
+        w = (text or "").split(" ")
+        w = w if w != [""] else []
+        grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else w
+        if not grams:
+            return 0
+        low = b"".join(hashlib.md5(g.encode()).digest()[8:] for g in grams)
+        ones = np.unpackbits(np.frombuffer(low, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        return int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big", signed=True)
+
+    return plain_texts.map(one)
+
+
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): 64-bit SimHash over three-token shingles (fewer than three: the tokens; no
-    token: 0), each hashed by the low half of its MD5."""
-    w = F.filter(F.split(plain(F.coalesce(F.col(text_col), F.lit(""))), " "), lambda x: x != "")
-    d = docs.select(F.col(id_col).alias("doc_id"), w.alias("w"))
-    n = F.size("w")
-    three = F.zip_with(F.zip_with(F.slice("w", 1, F.greatest(n - 2, F.lit(0))), F.slice("w", 2, F.greatest(n - 2, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)), F.slice("w", 3, F.greatest(n - 2, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    each = d.select("doc_id", F.explode(F.when(n >= 3, three).otherwise(F.col("w"))).alias("s"))
-    h = each.select("doc_id", F.conv(F.substring(F.md5("s"), 17, 16), 16, -10).cast("long").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(64)]
-    bits = h.groupBy("doc_id").agg(*sums)
-    packed = F.lit(0).cast("long")
-    for i in range(64):
-        one = -(1 << 63) if i == 63 else 1 << i
-        packed = packed.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.lit(one).cast("long")).otherwise(F.lit(0).cast("long")))
-    found = bits.select(F.col("doc_id").alias("_id"), packed.alias("fp"))
-    return docs.select(F.col(id_col).alias("doc_id")).join(found, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.coalesce("fp", F.lit(0).cast("long")).alias("fp"))
+    token: 0), each hashed by the low half of its MD5. The bits of a text are summed up within
+    its row, on Arrow batches: as rows of a table, every shingle would be shuffled."""
+    of = F.pandas_udf(_fingerprints, "long")
+    return docs.select(F.col(id_col).alias("doc_id"), of(plain(F.coalesce(F.col(text_col), F.lit("")))).alias("fp"))
 
 
 def near_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
@@ -69,21 +77,16 @@ def near_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     return pairs.select(F.col("doc_id").alias("a"), F.col("other").alias("b"), d.cast("int").alias("d")).distinct()
 
 
-def classes(pairs: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+def classes(pairs: DataFrame, nodes: DataFrame, ) -> DataFrame:
     """nodes: (doc_id). (doc_id, rep): the smallest document reachable over pairs (a, b), by
     minimum labels that also jump to their label's label, checkpointed each round."""
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuscle-"))
-    edges = pairs.select("a", "b").unionAll(pairs.select("b", "a")).toDF("a", "b").checkpoint()
-    labels = nodes.select("doc_id", F.col("doc_id").alias("rep")).distinct().checkpoint()
+    edges = settled(pairs.select("a", "b").unionAll(pairs.select("b", "a")).toDF("a", "b"))
+    labels = settled(nodes.select("doc_id", F.col("doc_id").alias("rep")).distinct())
     while True:
         seen = edges.join(labels, edges["b"] == labels["doc_id"]).groupBy("a").agg(F.min("rep").alias("m"))
         new = labels.join(seen, labels["doc_id"] == seen["a"], "left").select("doc_id", "rep", F.least("rep", F.coalesce("m", "rep")).alias("m"))
         jump = labels.select(F.col("doc_id").alias("j"), F.col("rep").alias("jr"))
-        new = new.join(jump, F.col("m") == F.col("j"), "left").select("doc_id", "rep", F.least("m", F.coalesce("jr", "m")).alias("m")).checkpoint()
+        new = settled(new.join(jump, F.col("m") == F.col("j"), "left").select("doc_id", "rep", F.least("m", F.coalesce("jr", "m")).alias("m")))
         changed = new.where("m != rep").limit(1).count()
         labels = new.select("doc_id", F.col("m").alias("rep"))
         if not changed:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuscle.functions.text import g
+
 #: The forms of months, separators, the present and years, and of claims.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*"
@@ -62,19 +64,23 @@ def union_months(spans: DataFrame, keys: list[str], start: str = "start", end: s
 
 def estimate(sections: DataFrame, today: Column) -> DataFrame:
     """sections: (doc_id, section, body). One row per document: months, years (not rounded; null
-    if nothing was found), method, claimed_years, evidence (6 ranges at most), warnings."""
-    scanned = sections.where(F.col("section").isin(*SECTIONS)).select("doc_id", F.inline(date_ranges(F.col("body"), today)))
+    if nothing was found), method, claimed_years, evidence (the first 6 ranges: experience before
+    projects, in the order of the text), warnings (their wording is fixed)."""
+    part = sections.where(F.col("section").isin(*SECTIONS)).select("doc_id", (F.col("section") != SECTIONS[0]).alias("_later"), F.posexplode(date_ranges(F.col("body"), today)).alias("_place", "_r"))
+    scanned = part.select("doc_id", "_later", "_place", "_r.*")
     months = union_months(scanned, ["doc_id"])
-    raws = scanned.groupBy("doc_id").agg(F.slice(F.collect_list("raw"), 1, 6).alias("evidence"))
+    # in the order of the sections and of the text
+    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("_later", "_place", "start", "end", "raw"))), 1, 6), lambda x: x["raw"])
+    raws = scanned.groupBy("doc_id").agg(first.alias("evidence"))
     claimed = sections.groupBy("doc_id").agg(F.max(claims(F.col("body"))).alias("claimed_years"))
     out = claimed.join(months, "doc_id", "left").join(raws, "doc_id", "left")
     dated = F.col("months") / 12.0
     years = F.coalesce(dated, F.col("claimed_years"))
     method = F.when(F.col("months").isNotNull(), "date-ranges").when(F.col("claimed_years").isNotNull(), "claimed").otherwise("none")
     notes = F.array_compact(F.array(
-        F.when(F.col("claimed_years") - F.round(dated, 1) >= 2.0, "claim exceeds dated roles"),
-        F.when(F.col("months").isNull() & F.col("claimed_years").isNotNull(), "claim without dated roles"),
-        F.when(years.isNull(), "years not determined"),
-        F.when(years > 50, "implausible total"),
+        F.when(F.col("claimed_years") - F.round(dated, 1) >= 2.0, F.concat(F.lit("resume claims "), g(F.col("claimed_years")), F.lit(" years but dated roles total "), g(F.round(dated, 1)), F.lit(" — verify manually"))),
+        F.when(F.col("months").isNull() & F.col("claimed_years").isNotNull(), F.concat(F.lit("no dated roles found — using the resume's own claim of "), g(F.col("claimed_years")), F.lit(" years, which is unverified"))),
+        F.when(years.isNull(), F.lit("no dates or stated experience found — years could not be determined")),
+        F.when(years > 50, F.concat(F.lit("implausible total ("), g(F.round(years, 1)), F.lit(" years) — likely a misparsed date"))),
     ))
     return out.select("doc_id", "months", years.alias("years"), method.alias("method"), "claimed_years", "evidence", notes.alias("warnings"))

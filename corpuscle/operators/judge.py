@@ -8,7 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.functions.text import grounded, json_object, skill_key
+from corpuscle.functions.text import grounded, json_object, quote_form, skill_key
+
+from .ordering import settled
+
+#: Quotes up to so many characters in all are sent to every task.
+QUOTES_BYTES = 16 << 20
 
 DEPTHS = ("none", "mentioned", "used", "strong")
 ANSWER = "struct<assessments:array<struct<skill:string,depth:string,evidence:string,section:string,confidence:string>>>"
@@ -81,3 +86,32 @@ def match_answers(skills: DataFrame, answers: DataFrame) -> DataFrame:
     reduced = F.when(F.coalesce(sure, F.lit(0.0)) == 0, 0.5).otherwise(sure) * 0.4
     marked = F.when(quote == "", "[unverified]").otherwise(F.concat(F.lit("[unverified] "), quote))
     return out.select("doc_id", "skill", "importance", depth.alias("depth"), F.when(loose, marked).otherwise(quote).alias("evidence"), F.nullif(F.col("a.section"), F.lit("")).alias("section"), F.when(loose, reduced).otherwise(sure).alias("confidence"), F.col("a").isNull().alias("omitted"))
+
+
+def grounded_pairs(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """docs: (doc_id, text); quotes: (item_id, quote). (doc_id, item_id, whole): which quotes are
+    grounded in which documents, and whether as a whole, as ``grounded`` has it.
+
+    A grounded quote's second to fifth words stand in the text as they are (its first may end a
+    word, its sixth begin one). Documents meet a quote on the longest of these, which is mostly
+    the rarest, and then the rule is applied. Quotes of three to five words meet them on the
+    longest word between their first and last; those of one or two, which may stand within words,
+    are held against every document; an empty one is grounded in all. Null texts and quotes have
+    no pair."""
+    b = quotes.select("item_id", quote_form(F.col("quote")).alias("q")).where("q is not null").withColumn("w", F.split("q", " "))
+    b = b.withColumn("inner", F.slice("w", F.lit(2), F.greatest(F.least(F.size("w") - 2, F.lit(4)), F.lit(0))))
+    seed = F.array_max(F.transform("inner", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    b = b.withColumn("seed", seed).select("item_id", "q", "seed")
+    n = b.agg(F.sum(F.length("q") + 64)).first()[0] or 0
+    b = settled(b)
+    held = F.broadcast(b) if n <= QUOTES_BYTES else b
+    # the form is made once; rows have a number of their own, copies of an id are not one key
+    d = settled(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", quote_form(F.col("text")).alias("hay")).where("hay is not null"))
+    at = d.select("row", F.explode(F.array_distinct(F.split("hay", " "))).alias("seed")).join(held.where("seed is not null"), "seed").select(F.col("row").alias("_row"), "item_id", "q")
+    found = d.join(at, F.col("row") == F.col("_row")).select("doc_id", "item_id", "hay", "q")
+    few = b.where("seed is null")
+    if not few.isEmpty():
+        found = found.unionAll(d.join(F.broadcast(few) if n <= QUOTES_BYTES else few, F.col("hay").contains(F.col("q"))).select("doc_id", "item_id", "hay", "q"))
+    part = F.array_join(F.slice(F.split("q", " "), 1, 6), " ")
+    holds = F.col("hay").contains(F.col("q"))
+    return found.where(holds | ((F.size(F.split("q", " ")) > 3) & F.col("hay").contains(part))).select("doc_id", "item_id", holds.alias("whole"))

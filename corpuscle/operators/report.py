@@ -41,17 +41,21 @@ def top_printed(ranked: DataFrame, n: int) -> DataFrame:
     return ranked.where((F.col("rank") <= n) | F.col("rank").isNull())
 
 
-def contacts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, email, phone): the first of each, empty without one."""
-    phone = r"(?:\+\d{1,3}[\s-]?)?\d{5}[\s-]?\d{5}|\d{3}[\s-]?\d{3}[\s-]?\d{4}"
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.regexp_extract(t, T.EMAIL, 0).alias("email"), F.trim(F.regexp_extract(t, phone, 0)).alias("phone"))
+#: Fixed value: a phone number in the header.
+HEADER_PHONE = r"(?:\+\d{1,3}[\s-]?)?\d{5}[\s-]?\d{5}|\d{3}[\s-]?\d{3}[\s-]?\d{4}"
+
+
+def contacts(docs: DataFrame, text_col: str = "text", header_col: str | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, email, phone): the first e-mail address of the whole text, the first phone number of
+    the header (the text if there is none); empty without one, and for a null text."""
+    whole, header = (F.coalesce(F.col(c), F.lit("")) for c in (text_col, header_col or text_col))
+    return docs.select(F.col(id_col).alias("doc_id"), F.regexp_extract(whole, T.EMAIL, 0).alias("email"), T.strip(F.regexp_extract(header, HEADER_PHONE, 0)).alias("phone"))
 
 
 def identity(header: Column, fallback: Column) -> Column:
     """struct<name, role> from the first three lines that are no contact lines: a short, mostly
     alphabetic line of two to five words is the name, the next one the role; else the file name."""
-    lines = F.slice(F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), "\n"), F.trim), lambda x: x != ""), 1, 3)
+    lines = F.slice(F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), "\n"), lambda x: T.strip(x)), lambda x: x != ""), 1, 3)
     lines = F.filter(lines, lambda x: ~(x.rlike(T.EMAIL) | (x.contains("|") & x.rlike("\\d"))))
     words = lambda x: F.size(F.split(x, "\\s+"))
     is_name = lambda x: words(x).between(2, 5) & (F.length(F.regexp_replace(x, "[^\\p{L}\\s]", "")) / F.length(x) > 0.85)
@@ -70,7 +74,18 @@ def identity(header: Column, fallback: Column) -> Column:
 
 def hue(name: Column) -> Column:
     """Colour of a name's avatar: its characters' code points, summed, modulo 360."""
-    return F.aggregate(F.filter(F.split(name, ""), lambda c: c != ""), F.lit(0), lambda s, c: s + F.ascii(c)) % 360
+    # four bytes a code point, big-endian
+    points = F.hex(F.encode(name, "UTF-32"))
+    each = F.transform(F.regexp_extract_all(points, F.lit("[0-9A-F]{8}"), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("long"))
+    return (F.aggregate(each, F.lit(0).cast("long"), lambda s, c: s + c) % 360).cast("int")
+
+
+def avatar(name: Column) -> Column:
+    """An image of the initials as a data URI, so that no picture is fetched from anywhere."""
+    #: fixed value: the image's form
+    form = '<svg xmlns="http://www.w3.org/2000/svg" width="96" height="96"><rect width="96" height="96" rx="48" fill="hsl(%d,45%%,32%%)"/><text x="48" y="62" font-family="Arial,sans-serif" font-size="36" font-weight="600" fill="#e2e8f0" text-anchor="middle">%s</text></svg>'
+    svg = F.format_string(form, hue(name), initials(name))
+    return F.concat(F.lit("data:image/svg+xml;base64,"), F.regexp_replace(F.base64(F.encode(svg, "UTF-8")), "[\r\n]", ""))
 
 
 def initials(name: Column) -> Column:
@@ -84,3 +99,37 @@ def ui_filter(rows: DataFrame, needle: str = "", status: str = "ALL") -> DataFra
     n = needle.lower()
     hit = F.lower("name").contains(n) | F.lower("role").contains(n) | F.exists("skills", lambda s: F.lower(s).contains(n))
     return rows.where(hit & (F.lit(True) if status == "ALL" else F.col("status") == status))
+
+
+def skill_line(skills: Column) -> Column:
+    """skills: array<struct<name, alternatives>>: "A or B, C"; nameless ones are left out."""
+    one = F.transform(skills, lambda s: F.array_join(F.concat(F.array(F.coalesce(s["name"], F.lit(""))), F.coalesce(s["alternatives"], F.array().cast("array<string>"))), " or "))
+    return F.array_join(F.filter(one, lambda x: x != ""), ", ")
+
+
+#: The columns of an exported sheet.
+SHEET = ("Resume", "JD", "Score", "Rank", "Matched Skills", "Missing Skills", "Mandatory Skills", "Preferred Skills", "Assessment", "Explanation", "Summary", "Experience", "Flags", "Extraction Conf.")
+
+
+def sheet_rows(ranked: DataFrame, assessments: DataFrame, role: Column) -> DataFrame:
+    """ranked: of ``candidates.score_candidates`` with rank (null for folded copies). SHEET, in the
+    order of the ranks, those without one last."""
+    part = lambda label: F.get(F.filter("components", lambda c: c["label"] == label), F.lit(0))
+    tenth = lambda x: F.format_string("%.1f", T.nearest(x, 1))
+    bucket = lambda label: F.coalesce(F.concat(tenth(part(label)["earned"]), F.lit(" / "), tenth(part(label)["possible"]), F.lit("\n"), part(label)["detail"]), F.lit(""))
+    said = F.concat(F.col("skill"), F.lit(" — "), F.col("depth"), F.when(F.coalesce("evidence", F.lit("")) != "", F.concat(F.lit(': "'), F.substring("evidence", 1, 90), F.lit('"'))).otherwise(""))
+    a = assessments.groupBy(F.col("doc_id").alias("_a")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("t")))), lambda x: x["t"]), "\n").alias("assessment"))
+    years = F.coalesce(F.concat(T.g(F.col("years")), F.lit(" yrs ("), F.coalesce("method", F.lit("")), F.lit(")")), F.lit(""))
+    cols = [T.basename(F.col("path")), role, F.col("score"), F.col("rank"), F.array_join("matched_skills", ", "), F.array_join("missing_or_weak", ", "), bucket("Mandatory skills"), bucket("Preferred skills"), F.coalesce("assessment", F.lit("")), F.col("explanation"), F.col("summary"), years, F.array_join("flags", "\n"), F.col("extraction_confidence")]
+    rows = ranked.join(a, F.col("doc_id") == F.col("_a"), "left")
+    return rows.select(*[c.alias(n) for c, n in zip(cols, SHEET)]).orderBy(F.asc_nulls_last("Rank"))
+
+
+def throughput(done: Column, seconds: Column) -> Column:
+    """Files a minute, at least one second counted."""
+    return F.round(done * 60 / F.greatest(seconds, F.lit(1.0)), 0).cast("int")
+
+
+def new_uploads(chosen: DataFrame, there: DataFrame) -> DataFrame:
+    """(name, size) of ``chosen`` that ``there`` lacks; a file is told by name and size."""
+    return chosen.join(there.select("name", "size").distinct(), ["name", "size"], "left_anti")

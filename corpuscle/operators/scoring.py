@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 #: Weight of each depth; points of each bucket; limits of flags.
 DEPTH = {"none": 0.0, "mentioned": 0.4, "used": 0.8, "strong": 1.0}
 MANDATORY, PREFERRED, EXPERIENCE = 70.0, 30.0, 15.0
@@ -42,7 +44,7 @@ def buckets(assessments: DataFrame, keys: list[str]) -> DataFrame:
     count = lambda c: F.count_if(c).cast("long")
     return assessments.groupBy(*keys).agg(
         F.sum(F.when(mand, w)).alias("m_sum"), count(mand).alias("m_n"), count(mand & shown).alias("m_shown"), count(mand & (F.col("depth") == "mentioned")).alias("m_listed"), count(mand & (F.col("depth") == "none")).alias("m_missing"), count(mand & (F.col("depth") == "strong")).alias("m_strong"),
-        F.sum(F.when(pref, w)).alias("p_sum"), count(pref).alias("p_n"), count(pref & shown).alias("p_shown"), count(shown).alias("n_shown"), count(F.col("depth") == "strong").alias("n_strong"),
+        F.sum(F.when(pref, w)).alias("p_sum"), count(pref).alias("p_n"), count(pref & shown).alias("p_shown"), count(pref & (F.col("depth") == "mentioned")).alias("p_listed"), count(pref & (F.col("depth") == "none")).alias("p_missing"), count(shown).alias("n_shown"), count(F.col("depth") == "strong").alias("n_strong"),
     )
 
 
@@ -64,7 +66,8 @@ def score(rows: DataFrame, required: Column | None = None, years: Column | None
 
 
 def explain(assessments: DataFrame, keys: list[str]) -> DataFrame:
-    """matched, missing_or_weak and the flags of skills, in the order of the skills (pos)."""
+    """matched, missing_or_weak, missing (mandatory) and the flags of skills, in the order of the
+    skills (pos). The flags' wording is fixed."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "skill", "importance", "depth", "confidence")))
     a = assessments.groupBy(*keys).agg(ordered.alias("a"))
     names = lambda keep: F.transform(F.filter("a", keep), lambda x: x["skill"])
@@ -75,11 +78,17 @@ def explain(assessments: DataFrame, keys: list[str]) -> DataFrame:
     unsure = names(lambda x: x["confidence"].isNotNull() & (x["confidence"] < LOW_JUDGEMENT) & ~none(x))
     flag = lambda label, arr: F.when(F.size(arr) > 0, F.concat(F.lit(label), F.array_join(arr, ", ")))
     flags = F.array_compact(F.array(flag("missing required skill(s): ", lost), flag("low-confidence judgement(s): ", unsure)))
-    return a.select(*keys, names(lambda x: x["depth"] != "none").alias("matched"), F.concat(missing, listed).alias("missing_or_weak"), flags.alias("flags"))
+    return a.select(*keys, names(lambda x: x["depth"] != "none").alias("matched"), F.concat(missing, listed).alias("missing_or_weak"), lost.alias("missing"), flags.alias("flags"))
 
 
 def rank(scores: DataFrame, by: list[str], margin: float = 2.0, partition: list[str] | None = None, tie: str = "path") -> DataFrame:
-    """Adds rank (columns ``by`` descending, then ``tie``), gap to the one before, and near_tie."""
-    w = W.partitionBy(*(partition or [])).orderBy(*[F.desc(c) for c in by], tie)
+    """Adds rank (columns ``by`` descending, then ``tie``), gap to the one before, and near_tie. A
+    rank over the whole table is taken over range partitions, not in one task."""
+    order = [*[F.desc(c) for c in by], tie]
+    if not partition:
+        r = running(scores, order, out="_before", last=by[0])
+        r = r.withColumn("rank", F.col("_before") + 1).withColumn("gap", F.col("_last") - F.col(by[0])).drop("_before", "_last")
+        return r.withColumn("near_tie", F.coalesce(F.col("gap") < margin, F.lit(False)))
+    w = W.partitionBy(*partition).orderBy(*order)
     before = F.lag(by[0]).over(w)
     return scores.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("gap", before - F.col(by[0])).withColumn("near_tie", F.coalesce(F.col("gap") < margin, F.lit(False)))

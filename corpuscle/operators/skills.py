@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.functions.text import json_object
+from corpuscle.functions.text import first_line, json_object, strip
 
 #: Aliases of canonical skills.
 ALIASES = {
@@ -53,8 +53,8 @@ def distinct_skills(items: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(item).alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
-        name = F.trim(x["name"])
-        alts = F.filter(F.transform(F.coalesce(x["alternatives"], F.array().cast("array<string>")), F.trim), lambda a: (a != "") & (F.lower(a) != F.lower(name)))
+        name = strip(x["name"])
+        alts = F.filter(F.transform(F.coalesce(x["alternatives"], F.array().cast("array<string>")), lambda a: strip(a)), lambda a: (a != "") & (F.lower(a) != F.lower(name)))
         skip = (name == "") | F.array_contains(acc["seen"], F.lower(name))
         seen = F.concat(acc["seen"], F.array(F.lower(name)), F.transform(alts, F.lower))
         kept = F.concat(acc["kept"], F.array(F.struct(name.alias("name"), x["category"].alias("category"), alts.alias("alternatives"))))
@@ -84,3 +84,36 @@ def parse_requirements(answers: DataFrame) -> DataFrame:
     tag = lambda arr, imp: F.transform(arr, lambda x: F.struct(F.lit(imp).alias("importance"), x["name"].alias("name"), x["category"].alias("category"), x["alternatives"].alias("alternatives")))
     skills = F.concat(tag(distinct_skills(typed(m)), "mandatory"), tag(distinct_skills(typed(p)), "preferred"))
     return j.select("jd_id", F.col("r.role_title").alias("role_title"), F.col("r.min_years_experience").try_cast("double").alias("min_years"), F.col("r.education").alias("education"), skills.alias("skills"), bad.alias("n_malformed"))
+
+
+#: The vocabulary of the rule that reads requirements without a model, how some of its
+#: terms are spelled, and the words from which on skills are preferred ones.
+VOCABULARY = (
+    "python java javascript typescript go golang rust c++ c# ruby php scala kotlin swift sql postgresql mysql mongodb redis cassandra elasticsearch snowflake bigquery "
+    "kafka spark flink airflow hadoop dbt kinesis aws azure gcp kubernetes docker terraform ansible jenkins pytorch tensorflow scikit-learn pandas numpy langchain "
+    "react angular vue django flask fastapi node express graphql rest git linux bash ci/cd microservices"
+).split()
+SPELLED = {
+    "sql": "SQL", "aws": "AWS", "gcp": "GCP", "ci/cd": "CI/CD", "pytorch": "PyTorch", "tensorflow": "TensorFlow", "postgresql": "PostgreSQL", "mysql": "MySQL", "mongodb": "MongoDB",
+    "javascript": "JavaScript", "typescript": "TypeScript", "graphql": "GraphQL", "bigquery": "BigQuery", "scikit-learn": "scikit-learn", "numpy": "NumPy", "fastapi": "FastAPI", "nodejs": "Node.js",
+    "c++": "C++", "c#": "C#", "rest": "REST", "dbt": "dbt",
+}
+PREFERRED_FROM = r"\b(?:nice to have|preferred|bonus|desirable)\b"
+
+
+def requirements_by_rule(jobs: DataFrame, most: tuple[int, int] = (8, 6)) -> DataFrame:
+    """jobs: (jd_id, text). jd_id, role_title (first line), min_years (first number of years),
+    mandatory and preferred: terms of VOCABULARY that stand by themselves before and after the
+    first word of PREFERRED_FROM, in the vocabulary's order; preferred without the mandatory ones."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    halves = F.split(low, PREFERRED_FROM, 2)
+    quoted = lambda t: "".join("\\" + c if not c.isalnum() else c for c in t)
+
+    def held(part: Column) -> Column:
+        said = lambda t: SPELLED.get(t, t.title())
+        return F.array_compact(F.array(*[F.when(part.rlike(f"(?<![a-z0-9]){quoted(t)}(?![a-z0-9])"), F.lit(said(t))) for t in VOCABULARY]))
+
+    mandatory, preferred = held(halves[0]), held(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    years = F.regexp_extract(low, r"(\d{1,2})\s*\+?\s*years?", 1).try_cast("double")
+    j = jobs.select("jd_id", F.coalesce(first_line(F.col("text")), F.lit("Role")).alias("role_title"), years.alias("min_years"), mandatory.alias("m"), preferred.alias("p"))
+    return j.select("jd_id", "role_title", "min_years", F.slice("m", 1, most[0]).alias("mandatory"), F.slice(F.array_except("p", "m"), 1, most[1]).alias("preferred"))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from corpuscle.functions import quality as Q
 from corpuscle.functions import text as T
 from corpuscle.functions import vectors as V
-from corpuscle.operators import dedup, evaluation, experience, judge, layout, report, retrieval, scoring, skills
-from corpuscle.sources import files
+from corpuscle.operators import candidates, dedup, evaluation, experience, extraction, judge, layout, report, retrieval, scoring, skills
+from corpuscle.sources import files, pages
 from corpuscle.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: White space at both ends, for regexp_replace.
+_ENDS = r"'^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '', 'g'"
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -115,13 +119,13 @@ _HASHED = r"""SELECT {keys}, ('0x' || substr(md5(f), 31, 2))::INT AS bucket, cou
   list_transform(range(1, greatest(length({text}) - 1, 1)), lambda i: substr(lower({text}), i, 3)))) AS f FROM {table}) GROUP BY ALL"""
 
 
-@register(f"""WITH h AS ({_HASHED.format(keys='item_id', text='text', table='benchmark')})
-SELECT item_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS w FROM h""")
+@register(f"""WITH h AS ({_HASHED.format(keys='doc_id', text='text', table='documents')})
+SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS w FROM h""")
 def hashing_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.hashed(read(spark, sf_dir, "benchmark"), "text", "item_id").select("item_id", "bucket", r6("w").alias("w"))
+    return V.hashed(read(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "bucket", r6("w").alias("w"))
 
 
-@register(f"""WITH {_BM25.replace('FROM documents', "FROM (SELECT item_id AS doc_id, replace(text, '.', chr(10)) AS text FROM benchmark)")},
+@register(f"""WITH {_BM25},
 cv AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, chunk_id)) AS w FROM ({_HASHED.format(keys='doc_id, chunk_id', text='chunk', table='ln')})),
 qv AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY skill)) AS v FROM ({_HASHED.format(keys='skill', text='q_text', table='sk')})),
 se AS (SELECT doc_id, chunk_id, skill, sum(w * v) AS semantic FROM cv JOIN qv USING (bucket) GROUP BY ALL),
@@ -130,9 +134,8 @@ fu AS (SELECT *, round(CASE WHEN bx > bn THEN 0.5 * (b - bn) / (bx - bn) ELSE 0
   FROM (SELECT *, min(b) OVER g AS bn, max(b) OVER g AS bx, min(s) OVER g AS sn, max(s) OVER g AS sx FROM gr WINDOW g AS (PARTITION BY doc_id, skill)))
 SELECT doc_id, skill, k, chunk_id::BIGINT AS chunk_id, fused FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, skill ORDER BY fused DESC, chunk_id) AS k FROM fu) WHERE k <= 3 AND fused > 0""")
 def hybrid_fusion_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.regexp_replace("text", "\\.", "\n").alias("text"))
     sk = _skills(spark)
-    fused = retrieval.fuse(retrieval.line_chunks(items), F.broadcast(retrieval.query_terms(sk)), sk).withColumn("fused", r6("fused"))
+    fused = retrieval.fuse(retrieval.line_chunks(read(spark, sf_dir, "documents")), F.broadcast(retrieval.query_terms(sk)), sk).withColumn("fused", r6("fused"))
     return retrieval.top_chunks(fused, "fused", 3).select("doc_id", "skill", F.col("k").cast("long").alias("k"), F.col("chunk_id").cast("long").alias("chunk_id"), "fused")
 
 
@@ -142,10 +145,7 @@ SELECT query_id, k, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stated query set (every 100th id) against all rows; the five nearest by dot product."""
     e = read(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    p = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", r6(V.dot(F.col("q"), F.col("embedding"))).alias("sim"))
-    k = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))
-    return p.withColumn("k", k.cast("long")).where("k <= 5").select("query_id", "k", "vec_id", "sim")
+    return V.nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5)
 
 
 @register("""SELECT l_orderkey, l_linenumber, round(CASE WHEN hi > lo THEN (l_quantity - lo) / (hi - lo) ELSE 0 END, 6) AS scaled
@@ -227,9 +227,9 @@ _PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @register(f"""SELECT doc_id, fp, min(doc_id) OVER (PARTITION BY fp) AS rep, count(*) OVER (PARTITION BY fp) AS copies
-FROM (SELECT doc_id, substr(sha256({_PLAIN.format('text')}), 1, 32) AS fp FROM documents)""")
+FROM (SELECT doc_id, substr(sha256({_PLAIN.format("coalesce(text, '')")}), 1, 32) AS fp FROM documents)""")
 def exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", dedup.exact_fingerprint(F.col("text")).alias("fp"))
+    d = read(spark, sf_dir, "documents").select("doc_id", dedup.exact_fingerprint(F.coalesce("text", F.lit(""))).alias("fp"))
     # aggregated before joining back, so that a large group is one row
     return d.join(d.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "fp").select("doc_id", "fp", "rep", "copies")
 
@@ -273,37 +273,15 @@ _QUOTE = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]+', ' ', 'g'
 @register(f"""WITH d AS (SELECT doc_id, {_QUOTE.format('text')} AS hay FROM documents), b AS (SELECT item_id, {_QUOTE.format('text')} AS q FROM benchmark)
 SELECT doc_id, item_id, contains(hay, q) AS whole FROM d JOIN b ON contains(hay, q) OR (len(string_split(q, ' ')) > 3 AND contains(hay, array_to_string(string_split(q, ' ')[1:6], ' ')))""")
 def contamination_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which items, taken as quotes, are grounded in which documents. A grounded quote's second
-    to fifth words stand in the text as they are (its first may end a word, its sixth begin
-    one): documents meet quotes on that run of words, then the rule is applied. Quotes of three
-    to five words meet them on the words between their first and last; those of fewer, which
-    may stand within words, are held against every document."""
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), T.quote_form(F.col("text")).alias("q")).withColumn("w", F.split("q", " "))
-    b = b.where("q is not null").withColumn("k", F.least(F.size("w") - 2, F.lit(4)))
-    few = b.where("k < 1").select("item_id", "q")
-    lengths = sorted(r["k"] for r in b.where("k > 0").select("k").distinct().collect())  # of 1 to 4
-    b = b.where("k > 0").select("item_id", "quote", "q", F.array_join(F.slice("w", F.lit(2), F.col("k")), " ").alias("run"))
-    d = read(spark, sf_dir, "documents").select("doc_id", T.quote_form(F.col("text")).alias("hay")).withColumn("w", F.split("hay", " "))
-
-    def runs(k: int):
-        n = F.greatest(F.size("w") - (k - 1), F.lit(0))
-        if k == 1:
-            return F.slice("w", 1, n)
-        pair = lambda i: F.zip_with(F.slice("w", i, n), F.slice("w", i + 1, n), lambda x, y: F.concat_ws(" ", x, y))
-        return pair(1) if k == 2 else F.zip_with(pair(1), pair(3) if k == 4 else F.slice("w", 3, n), lambda x, y: F.concat_ws(" ", x, y))
-
-    held = [runs(k) for k in lengths] or [F.array().cast("array<string>")]
-    at = d.select("doc_id", F.explode(F.array_distinct(F.concat(*held))).alias("run")).join(F.broadcast(b) if b.count() <= 10_000 else b, "run")
-    found = at.join(d.select("doc_id", "hay"), "doc_id").where(F.col("hay").contains(F.array_join(F.slice(F.split("q", " "), 1, 6), " ")))
-    found = found.select("doc_id", "item_id", "hay", "q")
-    if not few.isEmpty():
-        found = found.unionAll(d.join(few, F.col("hay").contains(F.col("q"))).select("doc_id", "item_id", "hay", "q"))
-    return found.select("doc_id", "item_id", F.col("hay").contains(F.col("q")).alias("whole"))
-
-
-@register(r"SELECT doc_id, regexp_extract(text, '[\w.+-]+@[\w-]+\.[\w.]+', 0) AS email, trim(regexp_extract(text, '(?:\+\d{1,3}[\s-]?)?\d{5}[\s-]?\d{5}|\d{3}[\s-]?\d{3}[\s-]?\d{4}', 0)) AS phone FROM documents")
+    """Which items, taken as quotes, are grounded in which documents."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return judge.grounded_pairs(read(spark, sf_dir, "documents").select("doc_id", "text"), items)
+
+
+@register(r"SELECT doc_id, regexp_extract(coalesce(text, ''), '[\w.+-]+@[\w-]+\.[\w.]+', 0) AS email, trim(regexp_extract(coalesce(string_split(text, chr(10))[1], ''), '(?:\+\d{1,3}[\s-]?)?\d{5}[\s-]?\d{5}|\d{3}[\s-]?\d{3}[\s-]?\d{4}', 0)) AS phone FROM documents")
 def identity_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.contacts(read(spark, sf_dir, "documents"))
+    """The e-mail address of the whole text, the phone number of its header, here the first line."""
+    return report.contacts(read(spark, sf_dir, "documents").withColumn("header", F.split("text", "\n")[0]), "text", "header")
 
 
 # ---------------------------------------------------------------- sequences
@@ -550,6 +528,79 @@ def avatars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", report.initials(F.translate("c_name", "#", " ")).alias("initials"), report.hue(F.col("c_name")).alias("hue"))
 
 
+def _near(x: str, digits: int) -> str:
+    p = f"{10**digits}::DOUBLE"
+    low, high = f"floor({x} * {p}) / {p}", f"(floor({x} * {p}) + 1) / {p}"
+    return f"(CASE WHEN {x} - {low} < {high} - {x} THEN {low} WHEN {x} - {low} > {high} - {x} THEN {high} WHEN floor({x} * {p})::BIGINT % 2 = 0 THEN {low} ELSE {high} END)"
+
+
+_NAMES = "string_agg(skill, ', ' ORDER BY l_linenumber) FILTER"
+_REPORT = f"""{_SCORED}, sk AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'mandatory' ELSE 'preferred' END AS importance, {_DEPTHS} AS depth, 'skill' || l_linenumber AS skill, l_discount AS conf FROM lineitem),
+n AS (SELECT l_orderkey, count(*) FILTER (importance = 'mandatory' AND depth IN ('used', 'strong')) AS m_shown, count(*) FILTER (importance = 'mandatory' AND depth = 'mentioned') AS m_listed, count(*) FILTER (importance = 'mandatory' AND depth = 'strong') AS m_strong,
+  count(*) FILTER (importance = 'preferred' AND depth IN ('used', 'strong')) AS p_shown, count(*) FILTER (importance = 'preferred' AND depth = 'mentioned') AS p_listed, count(*) FILTER (importance = 'preferred' AND depth = 'none') AS p_missing,
+  {_NAMES} (importance = 'mandatory' AND depth = 'none') AS lost, {_NAMES} (conf < 0.45 AND depth <> 'none') AS unsure FROM sk GROUP BY l_orderkey),
+r0 AS (SELECT *, l_orderkey % 10 / 10 AS ec, CASE WHEN l_orderkey % 4 = 0 THEN '' ELSE 'Engineer' END AS role, {_near("m_earned::DOUBLE", 2)} AS me, {_near("p_earned::DOUBLE", 2)} AS pe, {_near("e_earned::DOUBLE", 2)} AS ee,
+  ((CASE WHEN p_n = 0 THEN 100 WHEN m_n = 0 THEN 0 ELSE 70 END) * (100 - w_e) / 100)::DOUBLE AS mp, ((CASE WHEN m_n = 0 THEN 100 WHEN p_n = 0 THEN 0 ELSE 30 END) * (100 - w_e) / 100)::DOUBLE AS pp FROM c JOIN n USING (l_orderkey)),
+r1 AS (SELECT *, {_near("(me + pe + ee)", 1)} AS s FROM r0),
+r2 AS (SELECT *, concat_ws('; ', 'missing required skill(s): ' || lost, CASE WHEN required > 0 AND years IS NULL THEN 'JD requires 5+ years but no dates could be read from the resume — experience not scored, review manually' END,
+  CASE WHEN ec < 0.6 THEN 'low extraction confidence (' || printf('%.2f', ec) || ') — recommend manual review of the source resume' END, 'low-confidence judgement(s): ' || unsure) AS flags,
+  CASE WHEN m_n = 0 THEN 'no skills in this bucket' ELSE m_shown || ' demonstrated, ' || m_listed || ' listed-only, ' || m_missing || ' missing of ' || m_n END AS md, CASE WHEN p_n = 0 THEN 'no skills in this bucket' ELSE p_shown || ' demonstrated, ' || p_listed || ' listed-only, ' || p_missing || ' missing of ' || p_n END AS pd,
+  CASE WHEN years + 0.5 >= required THEN years::INT || ' years, meets the 5-year minimum' ELSE years::INT || ' of 5 years required' END || CASE WHEN l_orderkey % 2 = 1 THEN ' (self-reported, no dated roles to verify against)' ELSE '' END AS ed FROM r1)"""
+
+
+@register(f"""WITH {_REPORT} SELECT l_orderkey, s::DOUBLE AS score, concat_ws(' ', (CASE WHEN s >= 75 THEN 'Strong match' WHEN s >= 55 THEN 'Moderate match' WHEN s >= 30 THEN 'Weak match' ELSE 'Poor match' END) || (CASE WHEN role <> '' THEN ' for ' || role ELSE '' END) || '.',
+  CASE WHEN m_n > 0 THEN m_shown || '/' || m_n || ' required skills demonstrated' || (CASE WHEN m_strong > 0 THEN ' (' || m_strong || ' strongly)' ELSE '' END) || '.' END, CASE WHEN p_n > 0 THEN p_shown || '/' || p_n || ' preferred demonstrated.' END,
+  CASE WHEN years IS NOT NULL AND required > 0 THEN years::INT || ' years experience (' || (CASE WHEN years + 0.5 >= required THEN 'meets' ELSE 'below' END) || ' the 5-year bar).' WHEN years IS NOT NULL THEN years::INT || ' years experience.' END, 'Missing: ' || lost || '.') AS summary, flags,
+  concat_ws(chr(10), 'Score ' || {_near("s", 0)}::INT || '/100 for c' || l_orderkey || '.pdf:', '  - Mandatory skills: ' || {_near("me", 0)}::INT || ' of ' || {_near("mp", 0)}::INT || ' — ' || md, '  - Preferred skills: ' || {_near("pe", 0)}::INT || ' of ' || {_near("pp", 0)}::INT || ' — ' || pd,
+  CASE WHEN w_e > 0 THEN '  - Years of experience: ' || {_near("ee", 0)}::INT || ' of 15 — ' || ed END, CASE WHEN flags <> '' THEN '  flags: ' || flags END) AS explanation FROM r2""")
+def candidate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as candidates: score, summary sentence, flags and the explanation."""
+    out = candidates.score_candidates(*_people(spark, sf_dir))
+    return out.select(F.col("doc_id").alias("l_orderkey"), "score", "summary", F.array_join("flags", "; ").alias("flags"), "explanation")
+
+
+def _people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a = _assessed(spark, sf_dir).withColumnRenamed("l_orderkey", "doc_id")
+    k = F.col("doc_id")
+    people = a.select("doc_id").distinct().select("doc_id", F.concat(F.lit("in/c"), k.cast("string"), F.lit(".pdf")).alias("path"), (k % 10 / 10).alias("extraction_confidence"), F.when(k % 4 == 0, "").otherwise("Engineer").alias("role_title"), F.when(k % 3 == 0, 5.0).alias("min_years"), F.when(k % 5 != 0, (k % 7).cast("double")).alias("years"), F.when(k % 2 == 1, "claimed").otherwise("date-ranges").alias("method"), F.array().cast("array<string>").alias("warnings"))
+    return a, people
+
+
+@register(f"""WITH {_REPORT}, ag AS (SELECT l_orderkey, string_agg(skill || ' — ' || depth, chr(10) ORDER BY l_linenumber) AS a FROM sk GROUP BY l_orderkey)
+SELECT 'c' || l_orderkey || '.pdf' AS "Resume", s::DOUBLE AS "Score", row_number() OVER (ORDER BY s DESC, l_orderkey) AS "Rank", printf('%.1f / %.1f', {_near("me", 1)}, {_near("mp", 1)}) || chr(10) || md AS "Mandatory Skills", a AS "Assessment",
+  CASE WHEN years IS NULL THEN '' ELSE years::INT || ' yrs (' || (CASE WHEN l_orderkey % 2 = 1 THEN 'claimed' ELSE 'date-ranges' END) || ')' END AS "Experience", replace(flags, '; ', chr(10)) AS "Flags" FROM r2 JOIN ag USING (l_orderkey)""")
+def sheet_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported sheet's columns for the same candidates."""
+    a, people = _people(spark, sf_dir)
+    ranked = scoring.rank(candidates.score_candidates(a, people), ["score"], tie="doc_id")
+    rows = report.sheet_rows(ranked, a.withColumn("evidence", F.lit("")), F.lit("Engineer"))
+    return rows.select("Resume", "Score", "Rank", "Mandatory Skills", "Assessment", "Experience", "Flags")
+
+
+@register(f"""WITH {_REPORT} SELECT 'c' || l_orderkey AS id, {_near("s", 0)}::INT AS "matchScore", CASE WHEN s >= 80 THEN 'STRONG MATCH' WHEN s >= 60 THEN 'GOOD MATCH' WHEN s >= 40 THEN 'MODERATE' WHEN s >= 20 THEN 'WEAK MATCH' ELSE 'LOW MATCH' END AS status,
+  CASE WHEN years IS NULL THEN 'Not stated' ELSE years::INT || ' Yrs' END AS "experienceYears", 'C' || l_orderkey AS name, ec::DOUBLE AS "extractionConfidence" FROM r2""")
+def frontend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the interface shows of them; the names come from the file names."""
+    a, people = _people(spark, sf_dir)
+    ranked = candidates.score_candidates(a, people).withColumn("rank", F.lit(1))
+    none = spark.createDataFrame([], "doc_id long, pos int, section string, body string")
+    return candidates.frontend(ranked, a.withColumn("evidence", F.lit("")), none).select("id", "matchScore", "status", "experienceYears", "name", "extractionConfidence")
+
+
+@register(f"""WITH {_EVAL}, rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, name) AS rank FROM ev WHERE name % 3 <> 0), t AS (SELECT grade FROM rk ORDER BY rank LIMIT 5)
+SELECT (SELECT count(*) FROM rk) AS n_labelled, (SELECT count(*) FROM ev WHERE name % 3 = 0) AS n_unlabelled, (SELECT round(avg((grade >= 3)::INT), 6) FROM t)::DOUBLE AS precision_at_5_qualified,
+  (SELECT round(min(score) FILTER (grade >= 1) - max(score) FILTER (grade < 1), 6) FROM rk) AS separation, (SELECT count(*) FROM rk x JOIN rk y ON x.grade > y.grade AND x.score < y.score) AS n_inversions,
+  (SELECT round(corr(a, b), 6) FROM (SELECT rank() OVER (ORDER BY score DESC) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS a, rank() OVER (ORDER BY grade DESC) + (count(*) OVER (PARTITION BY grade) - 1) / 2.0 AS b FROM rk)) AS spearman,
+  round((SELECT sum((pow(2, grade) - 1) / log2(rank + 1)) FROM rk) / (SELECT sum((pow(2, grade) - 1) / log2(p + 1)) FROM (SELECT grade, row_number() OVER (ORDER BY grade DESC) AS p FROM rk)), 6) AS ndcg_all""")
+def evaluate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranking held against labels, a third of which are missing, in one row."""
+    g = scoring.rank(_graded(spark, sf_dir), ["score"], tie="name")
+    ranking = g.select(F.concat(F.lit("in/"), F.col("name").cast("string"), F.lit(".pdf")).alias("path"), "rank", "score")
+    known = g.where("name % 3 != 0").select(F.col("name").cast("string").alias("name"), "grade")
+    m = evaluation.evaluate(ranking, known)
+    return m.select("n_labelled", "n_unlabelled", "precision_at_5_qualified", *[r6(c).alias(c) for c in ("separation", "spearman", "ndcg_all")], "n_inversions")
+
+
 # ---------------------------------------------------------------- skills and answers
 
 _ALIAS_VALUES = ", ".join(f"('{c}', '{a}')" for c, names in skills.ALIASES.items() for a in (*names, c.lower()))
@@ -659,12 +710,65 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.sections(_blocks(spark))
 
 
-@register("""SELECT * FROM (VALUES (1, 1, -1, 0), (1, 2, 0, 1), (1, 4, 0, 2), (1, 6, 0, 3), (1, 3, 1, 4), (1, 5, 1, 5), (1, 7, 1, 6), (1, 8, -1, 7)) t(page, block_id, col, ord)""")
+_COLUMN = "CASE WHEN {g0} IS NULL OR x1 - x0 > 0.6 * 300 OR (x0 < {g1} - 1 AND x1 > {g0} + 1) THEN -1 WHEN x1 <= {g0} + 1 THEN 0 ELSE 1 END"
+
+
+@register(f"""WITH {_BOXES}, b0 AS (SELECT page, block_id, x0, y0, x0 + w AS x1 FROM bx), g AS (SELECT s_suppkey AS page, 200.0 AS g0, 310.0 AS g1 FROM supplier WHERE s_suppkey % 3 <> 0),
+c0 AS (SELECT b0.*, g0, g1, {_COLUMN.format(g0='g0', g1='g1')} AS c FROM b0 LEFT JOIN g USING (page)),
+r AS (SELECT page, coalesce(min(x0) FILTER (c = 1) - max(x1) FILTER (c = 0) >= 1, FALSE) AS apart, max(x1) FILTER (c = 0) AS l, min(x0) FILTER (c = 1) AS r FROM c0 WHERE g0 IS NOT NULL GROUP BY page),
+c1 AS (SELECT page, block_id, x0, y0, x1, CASE WHEN apart THEN l ELSE g0 END AS h0, CASE WHEN apart THEN r ELSE g1 END AS h1 FROM c0 LEFT JOIN r USING (page)),
+c2 AS (SELECT *, {_COLUMN.format(g0='h0', g1='h1')} AS c FROM c1),
+bd AS (SELECT *, sum((c = -1)::INT) OVER (PARTITION BY page ORDER BY round(y0, 1), x0, block_id ROWS UNBOUNDED PRECEDING) AS band FROM c2)
+SELECT page, block_id, c AS col, (row_number() OVER (PARTITION BY page ORDER BY band, (c = -1)::INT DESC, c, y0, x0, block_id) - 1)::INT AS ord FROM bd""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A title, two columns and a footer: left column, then right, between full-width blocks."""
-    rows = [(1, 1, 40.0, 20.0, 560.0, 40.0), (1, 2, 40.0, 60.0, 200.0, 100.0), (1, 3, 240.0, 60.0, 540.0, 120.0), (1, 4, 40.0, 140.0, 200.0, 200.0), (1, 5, 240.0, 160.0, 540.0, 260.0), (1, 6, 40.0, 240.0, 200.0, 300.0), (1, 7, 240.0, 280.0, 540.0, 330.0), (1, 8, 40.0, 380.0, 560.0, 400.0)]
-    b = spark.createDataFrame(rows, "page int, block_id int, x0 double, y0 double, x1 double, y1 double")
-    return layout.reading_order(b, layout.gutters(b, 595.0, ["page"]), ["page"]).select("page", "block_id", "col", "ord")
+    """Boxes of line items on a page for each supplier, 300 points wide for the width rule; two of
+    three pages have a gutter, which some boxes reach into."""
+    b = _boxes(spark, sf_dir).withColumn("block_id", F.array_join(F.slice(F.split("block_id", "-"), 1, 3), "-"))
+    g = read(spark, sf_dir, "supplier").where("s_suppkey % 3 != 0").select(F.col("s_suppkey").alias("page"), F.lit(200.0).alias("x0"), F.lit(310.0).alias("x1"))
+    return layout.reading_order(b, g, ["page"], width=300.0).select("page", "block_id", "col", "ord")
+
+
+@register("""SELECT l_suppkey AS page, l_orderkey AS block, string_agg(t, chr(10) ORDER BY line) AS text, max(size) AS font_size, sum(bold_chars) / nullif(sum(chars), 0) > 0.6 AS bold, round(min(x0), 6) AS x0
+FROM (SELECT l_suppkey, l_orderkey, l_linenumber % 2 AS line, string_agg('part ' || l_partkey, '' ORDER BY l_linenumber, l_partkey, l_extendedprice) AS t, max(l_quantity) AS size, sum(CASE WHEN l_returnflag = 'R' THEN length('part ' || l_partkey) ELSE 0 END) AS bold_chars, sum(length('part ' || l_partkey)) AS chars, min(l_discount * 100) AS x0
+  FROM lineitem GROUP BY ALL) GROUP BY ALL""")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of text, here line items, as the blocks of a supplier's page."""
+    nth = F.row_number().over(W.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
+    x = F.col("l_discount") * 100
+    spans = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_orderkey").alias("block"), nth.alias("nth"), (F.col("l_linenumber") % 2).alias("line"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"), x.alias("x0"), x.alias("y0"), (x + 10).alias("x1"), (x + 10).alias("y1"), F.col("l_quantity").alias("size"), (F.col("l_returnflag") == "R").alias("bold"))
+    b = pages.span_blocks(spans, ["page"])
+    return b.select("page", "block", "text", "font_size", "bold", r6("x0").alias("x0"))
+
+
+def _line_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of documents as blocks 12 points apart on one page each; every seventh document failed."""
+    d = read(spark, sf_dir, "documents").withColumn("bad", F.col("doc_id") % 7 == 0)
+    lines = d.where("not bad").select("doc_id", F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("block_id", "text"))
+    y = F.col("block_id") * 12.0
+    blocks = lines.where(T.strip(F.col("text")) != "").select("doc_id", "page", "block_id", "text", F.lit(40.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 10).alias("y1"), F.lit(10.0).alias("font_size"), F.lit(False).alias("bold"))
+    method = F.when(F.col("doc_id") % 3 == 0, "ocr").otherwise("native")
+    of = d.select("doc_id", F.lit(1).alias("page"), F.when(~F.col("bad"), method).alias("method"), F.when(~F.col("bad") & (F.col("doc_id") % 3 == 0), 80.0).alias("ocr_confidence"), F.when(F.col("bad"), "ValueError: PDF is password-protected").alias("error"))
+    return blocks, of
+
+
+@register(rf"""WITH t0 AS (SELECT doc_id, doc_id % 7 = 0 AS bad, CASE WHEN doc_id % 7 = 0 OR text IS NULL THEN '' ELSE regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, {_ENDS}) <> ''), chr(10)), {_ENDS}) END AS text FROM documents),
+{_QUALITY.replace('FROM documents)', 'FROM t0)', 1)}
+SELECT t0.doc_id, sha256(t0.text) AS text_sha256, CASE WHEN bad THEN 'none' WHEN t0.doc_id % 3 = 0 THEN 'ocr' ELSE 'native' END AS method, verdict, CASE WHEN bad OR t0.text = '' THEN 0 WHEN t0.doc_id % 3 = 0 THEN round(greatest(0, least(1, 0.6 * q_score + 0.4 * 0.8)), 3) ELSE round(q_score, 3) END::DOUBLE AS confidence,
+  NOT bad AND t0.text <> '' AS ok, substr(sha256({_PLAIN.format('t0.text')}), 1, 32) AS exact_fingerprint, CASE WHEN bad THEN 'ValueError: PDF is password-protected' END AS error FROM t0 JOIN q5 USING (doc_id)""")
+def extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks to documents: order, paragraphs, text, quality, fingerprints; unreadable ones are rows."""
+    d, _ = extraction.extract(*_line_blocks(spark, sf_dir))
+    return d.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "method", "verdict", "confidence", "ok", "exact_fingerprint", "error")
+
+
+@register()
+def screen_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from blocks to a ranked, explained list for one job; the tests hold it against
+    a plain version on a small table."""
+    d, sections = extraction.extract(*_line_blocks(spark, sf_dir))
+    d = d.withColumn("path", F.concat(F.lit("in/doc"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    ranked, _, _ = candidates.screen(d, sections, _skills(spark), F.lit("2026-07-01").cast("date"), "Engineer", 3.0)
+    return ranked.select("rank", "doc_id", "score", "summary", "explanation", F.array_join("flags", "; ").alias("flags"))
 
 
 # ---------------------------------------------------------------- names, JSON, HTML
@@ -710,10 +814,15 @@ def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.coalesce(T.first_line(F.col("text")), F.lit("")).alias("line"))
 
 
-@register()
+_FOLD = "string_split(list_reduce({parts}, lambda a, x: CASE WHEN length(string_split(a, chr(2))[-1]){test} THEN a || {by} || x ELSE a || chr(2) || x END), chr(2))"
+
+
+@register(rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, {_ENDS})), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, {_FOLD.format(parts='p', test=' < 80', by='chr(10)')} AS m FROM p WHERE len(p) > 0), e AS (SELECT doc_id, unnest(m) AS t, generate_subscripts(m, 1) AS i FROM m),
+s AS (SELECT doc_id, i, CASE WHEN length(t) <= 320 THEN [t] ELSE {_FOLD.format(parts="list_filter(string_split(regexp_replace(t, '([.!?])[ \t\n\x0B\f\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')", test=' + 1 + length(x) <= 320', by="' '")} END AS c FROM e)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS chunk_id, 'experience' AS section, chunk FROM (SELECT doc_id, i, unnest(c) AS chunk, generate_subscripts(c, 1) AS j FROM s)""")
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as one section each, cut into chunks; SQL here has no lookbehind, so the tests
-    hold it against a plain loop."""
+    """Documents as one section each, cut into chunks."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("pos"), F.lit("experience").alias("section"), F.col("text").alias("body"))
     return retrieval.section_chunks(d)
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuscle.functions.text import first_line, slug, stem
+
 #: Name space of WordprocessingML, and of compatibility markup.
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
@@ -22,7 +24,16 @@ MAX_PAGES = 12
 
 def scan(spark: SparkSession, *targets: str) -> DataFrame:
     """(path, length, content) of PDF, DOCX and DOC files in files or folders, in the order of
-    their paths. Missing files are passed over."""
+    their paths. Targets that don't exist are passed over; without any there is no row."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = []
+    for t in targets:
+        path = jvm.org.apache.hadoop.fs.Path(t)
+        if path.getFileSystem(conf).globStatus(path):
+            there.append(t)
+    if not there:
+        return spark.createDataFrame([], "path string, length long, content binary")
+    targets = there
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(list(targets))
     return found.where(F.lower("path").rlike("\\.(pdf|docx|doc)$")).select("path", "length", "content").orderBy("path")
 
@@ -94,7 +105,7 @@ def _boxes(p: ElementTree.Element) -> list[str]:
 def _style(p: ElementTree.Element) -> tuple[bool, float | None]:
     """Bold and size of the first run; headings and titles are bold."""
     named = p.find(f"{_W}pPr/{_W}pStyle")
-    bold = named is not None and bool(re.match("Heading|Title", named.get(f"{_W}val", "")))
+    bold = named is not None and bool(re.match("Heading|Title", named.get(f"{_W}val", ""), re.I))
     run = p.find(f"{_W}r/{_W}rPr")
     if run is None:
         return bold, None
@@ -133,7 +144,7 @@ def docx_parts(content: bytes) -> tuple[list[dict], list[list[list[str]]], list[
     links: list[str] = []
     if "word/_rels/document.xml.rels" in names:
         for r in ElementTree.fromstring(z.read("word/_rels/document.xml.rels")):
-            if r.get("Type", "").endswith("/hyperlink") and r.get("Target"):
+            if r.get("Type", "").endswith("/hyperlink") and r.get("Target") and r.get("TargetMode") != "Internal" and not r.get("Target").startswith("#"):
                 links.append(r.get("Target"))
     return blocks, tables, list(dict.fromkeys(links))
 
@@ -169,11 +180,46 @@ def read_rankings(spark: SparkSession, *targets: str) -> DataFrame:
     return j.select(F.input_file_name().alias("file"), "job", F.inline("shortlist")).dropDuplicates(["file", "path", "rank"])
 
 
-def write_ranking(ranked: DataFrame, path: str, job: str) -> None:
-    """One JSON object with the shortlist in the order of its ranks."""
-    cols = ranked.columns
-    rows = F.array_sort(F.collect_list(F.struct("rank", *[c for c in cols if c != "rank"])))
-    ranked.agg(F.lit(job).alias("job"), rows.alias("shortlist")).coalesce(1).write.mode("overwrite").json(path)
+def write_ranking(ranked: DataFrame, path: str, job: str, seconds: float = 0.0, folded: DataFrame | None = None, unreadable: DataFrame | None = None) -> None:
+    """One JSON object: job, generated_seconds, shortlist in the order of its ranks,
+    duplicates_folded and unreadable (file, error). It is the report of one job, that is one row."""
+    def rows(df: DataFrame, first: str) -> Column:
+        return F.array_sort(F.collect_list(F.struct(first, *[c for c in df.columns if c != first])))
+
+    out = ranked.agg(F.lit(job).alias("job"), F.lit(round(seconds, 2)).alias("generated_seconds"), rows(ranked, "rank").alias("shortlist"))
+    for name, df, first in (("duplicates_folded", folded, "path"), ("unreadable", unreadable, "file")):
+        out = out.withColumn(name, F.array().cast("array<string>")) if df is None else out.crossJoin(df.agg(rows(df, first).alias(name)))  # one row each
+    out.coalesce(1).write.mode("overwrite").json(path)
+
+
+def store_results(ranked: DataFrame, directory: str, job: str, text: str = "", **options) -> DataFrame:
+    """Writes every candidate as JSON below ``directory``/<job slug>/eval=<name>, and the ranking
+    beside them; returns (path, eval_name). Names are the job's and the file's slugs; repeated ones
+    get -2, -3, ..."""
+    job_slug = slug(F.coalesce(F.nullif(F.lit(job), F.lit("")), first_line(F.lit(text)), F.lit("role")))
+    named = ranked.withColumn("_e", F.concat(job_slug, F.lit("_"), slug(stem(F.col("path")), 20), F.lit("_eval")))
+    nth = F.row_number().over(W.partitionBy("_e").orderBy("path"))
+    named = named.withColumn("eval_name", F.when(nth == 1, F.col("_e")).otherwise(F.concat("_e", F.lit("-"), nth.cast("string")))).drop("_e")
+    top = ranked.sparkSession.range(1).select(job_slug.alias("s")).first()["s"]
+    named.write.mode("overwrite").partitionBy("eval_name").json(f"{directory}/{top}")
+    write_ranking(ranked, f"{directory}/{top}_ranking", job, **options)
+    return named.select("path", "eval_name")
+
+
+def load_ranking(spark: SparkSession, *targets: str) -> DataFrame:
+    """The shortlist of ranking files in the order of the ranks; ValueError if there is none."""
+    rows = read_rankings(spark, *targets).orderBy("file", "rank")
+    if rows.isEmpty():
+        raise ValueError("no shortlist in the ranking")
+    return rows
+
+
+def load_labels(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float]]:
+    """(grades, thresholds) of a label file: grades as (name, grade), thresholds as a dictionary."""
+    j = spark.read.schema("grades map<string,int>, thresholds map<string,double>").option("multiLine", True).json(path)
+    grades = j.select(F.explode("grades").alias("name", "grade"))
+    held = j.select("thresholds").first()
+    return grades, dict(held["thresholds"] or {}) if held else {}
 
 
 def unique_names(df: DataFrame, name_col: str, order: str, out: str = "unique_name") -> DataFrame:
@@ -185,9 +231,12 @@ def unique_names(df: DataFrame, name_col: str, order: str, out: str = "unique_na
 
 def accept_uploads(files: DataFrame, most_bytes: int = 15 << 20, most_files: int = 400) -> DataFrame:
     """(name, size, ord) with error: a wrong suffix, too large, or beyond the number of files."""
-    nth = F.row_number().over(W.orderBy("ord"))
     ok = F.lower("name").rlike("\\.(pdf|docx|doc)$")
-    return files.withColumn("error", F.when(~ok, "unsupported type").when(F.col("size") > most_bytes, "too large").when(nth > most_files, "too many files"))
+    # the limit's last place: only that many rows are sorted out, whatever comes in
+    last = files.orderBy("ord").limit(most_files).agg(F.max("ord").alias("_last"), F.count("*").alias("_many"))
+    files = files.crossJoin(F.broadcast(last))  # one row
+    nth = F.when((F.col("_many") == most_files) & (F.col("ord") > F.col("_last")), most_files + 1).otherwise(1)
+    return files.withColumn("error", F.when(~ok, "unsupported type").when(F.col("size") > most_bytes, "too large").when(nth > most_files, "too many files")).drop("_last", "_many")
 
 
 def sheet_title(df: DataFrame, col: str, order: str) -> DataFrame:

@@ -52,3 +52,25 @@ def paragraphs_by_gap(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:
     far = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp")) > gap_seconds * 1_000_000
     e = events.withColumn("run", F.sum(F.coalesce(far.cast("int"), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
     return e.groupBy("user_id", "run").agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("stop"))
+
+
+def cancel(spark, group: str) -> None:
+    """Stops a job that runs under ``spark.sparkContext.setJobGroup(group, ..., True)``: its stages end
+    at once, not only between documents."""
+    spark.sparkContext.cancelJobGroup(group)
+
+
+class Progress:
+    """What a streaming screening has done so far: (batches, rows), and its last log lines by offset."""
+
+    def __init__(self, query):
+        self.query = query
+
+    def lines(self, since: int = 0) -> list[dict]:
+        return [{"seq": p["batchId"], "rows": p["numInputRows"]} for p in self.query.recentProgress if p["batchId"] >= since]
+
+    def rows(self) -> int:
+        return sum(p["numInputRows"] for p in self.query.recentProgress)
+
+    def stop(self) -> None:
+        self.query.stop()

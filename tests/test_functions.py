@@ -34,7 +34,7 @@ def test_experience_sections(spark):
     ]
     got = {r.doc_id: r for r in experience.estimate(spark.createDataFrame(rows, "doc_id int, section string, body string"), today()).collect()}
     assert [None if got[i].years is None else round(got[i].years, 1) for i in range(1, 8)] == [4.9, 3.8, 1.9, 7.0, None, 0.8, None]
-    assert got[4].method == "claimed" and got[5].method == "none" and got[7].warnings == ["years not determined"]
+    assert got[4].method == "claimed" and got[5].method == "none" and got[7].warnings == ["no dates or stated experience found — years could not be determined"]
 
 
 def plain_chunks(body, most=320, least=80):
@@ -79,6 +79,18 @@ def test_text(spark):
         assert one(spark, T.grounded(F.col("q"), F.col("h")), q=quote, h=hay) is want
 
 
+def test_ends_are_stripped_whole(spark):
+    """Blanks of any kind go, and nothing but blanks, at whatever place in a list."""
+    padded = "  00 padded head 0 \nnext"
+    assert one(spark, T.first_line(F.col("t")), t=padded) == "00 padded head 0"
+    assert one(spark, T.first_line(F.col("t")), t="\n \t\n\u2003 1st Engineer 1\u00a0\r\nx") == "1st Engineer 1"
+    assert one(spark, T.strip(F.col("t")), t="\x1f\u0085 a b \u2028") == "a b"
+    body = "  first para 0  \n\n\t1 second 1 " + "x" * 90 + "\n\n  2 third 2\t"
+    assert one(spark, T.chunks(F.col("t")), t=body) == plain_chunks(body)
+    for x, want in ((5.0, "5"), (2.5, "2.5"), (0.0, "0"), (100.0, "100"), (1234.5, "1234.5"), (0.1, "0.1")):
+        assert spark.range(1).select(T.g(F.lit(x)).alias("g")).first().g == want
+
+
 def test_quality(spark):
     good = "Experience: " + "We built reliable systems for many people every day. " * 20
     spaced = "S O F T W A R E E N G I N E E R W O R K " * 12

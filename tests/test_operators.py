@@ -2,10 +2,12 @@ import io
 import zipfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.operators import dedup, judge, layout, report, scoring, skills
-from corpuscle.sources import files
+from corpuscle.functions import vectors
+from corpuscle.operators import candidates, dedup, evaluation, extraction, judge, layout, ordering, report, scoring, skills
+from corpuscle.sources import files, pages
 from corpuscle.streaming import jobs
 
 
@@ -54,6 +56,144 @@ def test_distinct_skills(spark):
     assert [(x["name"], x["alternatives"]) for x in got] == [("A", ["B"]), ("C", [])]
 
 
+def test_padded_alternatives(spark):
+    kind = "array<struct<name:string,category:string,alternatives:array<string>>>"
+    got = spark.sql("select array(named_struct('name', ' A ', 'category', null, 'alternatives', array(' B ', ' A ', '0x', '1'))) as i").select(skills.distinct_skills(F.col("i").cast(kind)).alias("k")).first().k
+    assert [(x["name"], x["alternatives"]) for x in got] == [("A", ["B", "0x", "1"])]
+
+
+def test_requirements_by_rule(spark):
+    text = "\n Senior Data Engineer \nPython, C++ and CI/CD; 5+ years. Gopher is no go-to.\nNice to have: Kafka, python, Docker"
+    got = skills.requirements_by_rule(spark.createDataFrame([(1, text), (2, None)], "jd_id int, text string")).orderBy("jd_id").collect()
+    assert got[0].role_title == "Senior Data Engineer" and got[0].min_years == 5 and got[0].mandatory == ["Python", "Go", "C++", "CI/CD"] and got[0].preferred == ["Kafka", "Docker"]
+    assert got[1].mandatory == [] and got[1].role_title == "Role"
+
+
+def test_running_over_partitions(spark):
+    d = spark.range(1000).selectExpr("id", "(id * 7919) % 1000 as x", "id % 3 as v").repartition(7)
+    got = ordering.running(d, [F.desc("x")], "v", "before", last="id").orderBy(F.desc("x")).collect()
+    total, last = 0, None
+    for r in got:
+        assert (r.before, r["_last"]) == (total, last)
+        total, last = total + r.v, r.id
+    assert "SinglePartition" not in ordering.running(d, ["x"])._jdf.queryExecution().executedPlan().toString()
+    assert ordering.running(d.limit(0), ["x"]).count() == 0
+
+
+def test_columns_of_a_page(spark):
+    """Wide blocks and such that reach into the gutter are full width; the gutter is widened first."""
+    box = [(1, 40.0, 0.0, 425.0), (2, 40.0, 20.0, 190.0), (3, 330.0, 20.0, 540.0), (4, 40.0, 40.0, 200.0), (5, 205.0, 60.0, 325.0), (6, 340.0, 80.0, 500.0), (7, 45.0, 90.0, 150.0)]
+    b = spark.createDataFrame([(1, i, x0, y, x1, y + 10) for i, x0, y, x1 in box], "page int, block_id int, x0 double, y0 double, x1 double, y1 double")
+    g = spark.createDataFrame([(1, 250.0, 300.0)], "page int, x0 double, x1 double")
+    got = {r.block_id: (r.col, r.ord) for r in layout.reading_order(b, g, ["page"]).collect()}
+    assert got == {1: (-1, 0), 2: (0, 1), 4: (0, 2), 3: (1, 3), 5: (-1, 4), 7: (0, 5), 6: (1, 6)}
+    alone = layout.reading_order(b, g.limit(0), ["page"]).orderBy("ord").collect()
+    assert [r.block_id for r in alone] == [1, 2, 3, 4, 5, 6, 7] and {r.col for r in alone} == {-1}
+
+
+def test_lines_grow_with_their_words(spark):
+    """Four words, each a little lower than the one before: one line, as its centre moves along."""
+    rows = [(1, 1, i, 30.0 * i, 5.0 * i, 30.0 * i + 20, 5.0 * i + 10) for i in range(4)] + [(1, 1, 9, 0.0, 80.0, 10.0, 80.2)]
+    w = spark.createDataFrame(rows, "doc_id int, page int, word_id int, x0 double, y0 double, x1 double, y1 double")
+    assert {r.word_id: r.line for r in layout.cluster_lines(w).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 1}
+
+
+def test_words_to_line_blocks(spark):
+    raw = [(1, 1, 0, "Name", "95", 40, 0, 100, 10), (1, 1, 1, "", "99", 0, 0, 1, 1), (1, 1, 2, "Left", "90", 40, 30, 60, 10), (1, 1, 3, "Right", "80", 320, 30, 60, 10), (1, 1, 4, "blur", "12", 40, 60, 60, 10), (1, 1, 5, "odd", "n/a", 40, 60, 60, 10), (1, 1, 6, "side", "70", 105, 30, 40, 10)]
+    words = layout.read_words(spark.createDataFrame(raw, "doc_id int, page int, word_id int, text string, conf string, left int, top int, width int, height int"), 1.0)
+    g = spark.createDataFrame([(1, 1, 200.0, 300.0)], "doc_id int, page int, x0 double, x1 double")
+    got = sorted((r.y0, r.col, r.text, r.confidence) for r in layout.line_blocks(words, g).collect())
+    assert got == [(0.0, -1, "Name", 95.0), (30.0, 0, "Left side", 80.0), (30.0, 1, "Right", 80.0)]
+    t = spark.createDataFrame([(1, 0, 90.0, 300), (1, 1, 99.0, 400), (2, 0, 60.0, 100), (2, 1, 80.0, 100), (2, 2, 80.0, 100)], "doc_id int, nth int, mean_confidence double, n_words int")
+    t = t.withColumn("score", layout.attempt_score(F.col("mean_confidence"), F.col("n_words")))
+    assert sorted((r.doc_id, r.nth) for r in layout.best_attempts(t, ["doc_id"], "nth").collect()) == [(1, 0), (2, 1)]
+
+
+def test_pages_by_a_plugged_reader(spark):
+    def reader(content):
+        """A reader of a made-up format: pages apart by form feeds."""
+        if content.startswith(b"locked"):
+            raise ValueError("PDF is password-protected")
+        parts = content.decode().split("\f")
+        for p in parts:
+            spans = [{"block": i, "text": t, "x0": 40.0, "y0": 20.0 * i, "x1": 300.0, "y1": 20.0 * i + 10, "size": 10.0, "bold": False} for i, t in enumerate(p.split("|")) if p]
+            yield {"n_pages": len(parts), "width": 595.0, "height": 842.0, "images": 0 if p else 1, "spans": spans, "tables": [{"x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0, "rows": [["a", ""], ["", None], ["b", "c"]]}], "links": ["https://a.b", "https://a.b"]}
+
+    many = "\f".join(f"page {i}" for i in range(20)).encode()
+    f = spark.createDataFrame([("a.pdf", bytearray(b"Jane Roe|EXPERIENCE|Built 2019 - 2021\f")), ("b.pdf", bytearray(b"locked")), ("c.pdf", bytearray(many))], "path string, content binary")
+    got = pages.read_pages(f, reader).cache()
+    assert got.groupBy("path").count().orderBy("path").collect() == [("a.pdf", 2), ("b.pdf", 1), ("c.pdf", 12)]
+    assert got.where("path = 'b.pdf'").first().error == "ValueError: PDF is password-protected"
+    notes = {r.path: r.warnings for r in pages.page_warnings(got).collect()}
+    assert notes["a.pdf"] == ["page 2: no text layer but images present — scanned page"] and notes["c.pdf"][0].startswith("document has 20 pages; processing first 12")
+    t = got.where("path = 'a.pdf' and page = 1").select(pages.whole_tables(F.col("tables")).alias("t")).first().t
+    assert [list(r) for r in t[0].rows] == [["a", ""], ["b", "c"]]
+    assert got.where("path = 'a.pdf' and page = 1").select(pages.table_text(F.col("tables")[0]["rows"]).alias("t")).first().t == "a | \n | \nb | c"
+    assert pages.document_links(got).where("path = 'a.pdf'").first().links == ["https://a.b"]
+    # and on to documents
+    spans = got.where("error is null").select(F.col("path").alias("doc_id"), "page", F.inline("spans")).withColumn("nth", F.lit(0)).withColumn("line", F.lit(0))
+    blocks = pages.span_blocks(spans, ["doc_id", "page"]).withColumnRenamed("block", "block_id")
+    of = got.select(F.col("path").alias("doc_id"), "page", F.when(F.col("error").isNull(), "native").alias("method"), F.lit(None).cast("double").alias("ocr_confidence"), "error")
+    links = pages.document_links(got).withColumnRenamed("path", "doc_id")
+    docs, sections = extraction.extract(blocks, of, links=links)
+    by = {r.doc_id: r for r in docs.collect()}
+    assert by["a.pdf"].text == "Jane Roe\n\nEXPERIENCE\nBuilt 2019 - 2021\n\nhttps://a.b" and by["a.pdf"].ok and by["a.pdf"].method == "native" and by["a.pdf"].n_pages == 2
+    assert not by["b.pdf"].ok and by["b.pdf"].method == "none" and by["b.pdf"].confidence == 0 and by["b.pdf"].error
+    assert [(r.section, r.body) for r in sections.where("doc_id = 'a.pdf'").orderBy("pos").collect()] == [("header", "Jane Roe"), ("experience", "Built 2019 - 2021")]
+    # screened as one job
+    asked = spark.createDataFrame([(0, "Built", "mandatory", "built"), (1, "Rust", "preferred", "rust")], "pos int, skill string, importance string, q_text string")
+    ranked, judged, bad = candidates.screen(docs.withColumn("path", F.concat(F.lit("in/"), "doc_id")), sections, asked, F.lit("2026-07-01").cast("date"), "Engineer", 5.0)
+    top = ranked.orderBy("rank").first()
+    # half of the chunks name no skill; the one that does is in experience with digits: strong
+    assert top.path == "in/a.pdf" and top.score == round(70 * 0.85 + 15 * (3.9 / 5), 1) and top.matched_skills == ["Built"]
+    assert top.summary == "Moderate match for Engineer. 1/1 required skills demonstrated (1 strongly). 0/1 preferred demonstrated. 3.9 years experience (below the 5-year bar)."
+    assert "3.9 years experience (5 required)" in top.missing_or_weak and top.explanation.startswith("Score 71/100 for a.pdf:\n  - Mandatory skills: 60 of 60 — 1 demonstrated")
+    assert [(r.file, r.error) for r in bad.collect()] == [("b.pdf", "ValueError: PDF is password-protected")]
+    job = candidates.run_job("j1", ranked, bad, 3).first()
+    assert (job.completed, job.failed, job.percent, job.leader) == (2, 1, 100, "in/a.pdf")
+    shown = candidates.frontend(ranked, judged, sections).where("rank = 1").first()
+    assert shown.name == "Jane Roe" and shown.experienceYears == "3.9 Yrs" and shown.strengths[0].startswith("Built — ") and shown.avatarUrl.startswith("data:image/svg+xml;base64,")
+    with pytest.raises(ValueError):
+        candidates.screen(docs.withColumn("path", F.col("doc_id")), sections, asked.limit(0), F.current_date())
+
+
+def test_stored_results_and_labels(spark, tmp_path):
+    d = spark.createDataFrame([("x/a b.pdf", 1, 90.0), ("y/a b.pdf", 2, 40.0), ("z/c.pdf", 3, 10.0)], "path string, rank long, score double")
+    bad = spark.createDataFrame([("broken.pdf", "empty")], "file string, error string")
+    names = {r.path: r.eval_name for r in files.store_results(d, str(tmp_path / "out"), "Senior Data Engineer", unreadable=bad, seconds=1.234).collect()}
+    assert names == {"x/a b.pdf": "sr-data-eng_b_eval", "y/a b.pdf": "sr-data-eng_b_eval-2", "z/c.pdf": "sr-data-eng_c_eval"}
+    assert spark.read.json(str(tmp_path / "out/sr-data-eng")).count() == 3
+    summary = spark.read.json(str(tmp_path / "out/sr-data-eng_ranking")).first()
+    assert summary.generated_seconds == 1.23 and [x.rank for x in summary.shortlist] == [1, 2, 3] and summary.unreadable[0].file == "broken.pdf"
+    (tmp_path / "labels.json").write_text('{"grades": {"a b": 4, "c": 0}, "thresholds": {"spearman": 0.8}}')
+    grades, limits = files.load_labels(spark, str(tmp_path / "labels.json"))
+    assert {(r.name, r.grade) for r in grades.collect()} == {("a b", 4), ("c", 0)} and limits == {"spearman": 0.8}
+    m = evaluation.evaluate(d, grades)
+    assert m.first().n_labelled == 3 and m.first().separation == 30.0 and m.first().n_inversions == 0
+    assert evaluation.verdict(m, limits | {"absent": 1.0}).first().passed
+    with pytest.raises(ValueError):
+        evaluation.evaluate(d, grades.where("name = 'c'"))
+    with pytest.raises(ValueError):
+        files.load_ranking(spark, str(tmp_path / "labels.json"))
+    assert files.scan(spark, str(tmp_path / "absent")).count() == 0
+    up = spark.createDataFrame([(f"{i}.pdf", 10 if i else 20 << 20, i) for i in range(6)] + [("x.exe", 1, 9)], "name string, size int, ord int")
+    assert {r.ord: r.error for r in files.accept_uploads(up, most_files=4).collect()} == {0: "too large", 1: None, 2: None, 3: None, 4: "too many files", 5: "too many files", 9: "unsupported type"}
+    assert report.new_uploads(up, up.where("ord < 3")).count() == 4
+
+
+def test_grades_are_few(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "MOST_GRADES", 3)
+    d = spark.range(9).selectExpr("id as name", "double(id) as score", "double(id % 4) as grade")
+    with pytest.raises(ValueError):
+        evaluation.kendall(d)
+
+
+def test_embedder_plug(spark):
+    d = spark.createDataFrame([("ab",), (None,), ("abcd",)], "t string")
+    got = [r.vector for r in vectors.embedded(d, "t", lambda texts: [[float(len(t)), 0.0] for t in texts], batch=2).collect()]
+    assert got == [[1.0, 0.0], [0.0, 0.0], [1.0, 0.0]]
+
+
 DOCUMENT = """<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"><w:body>
 <w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:rPr><w:sz w:val="28"/></w:rPr><w:t>Jane</w:t><w:tab/><w:t>Roe</w:t></w:r>
 <w:r><mc:AlternateContent><mc:Choice><w:txbxContent><w:p><w:r><w:t>Boxed</w:t></w:r></w:p></w:txbxContent></mc:Choice><mc:Fallback><w:txbxContent><w:p><w:r><w:t>Boxed</w:t></w:r></w:p></w:txbxContent></mc:Fallback></mc:AlternateContent></w:r></w:p>
