@@ -14,6 +14,7 @@ from corpuscle.functions.text import basename, g, nearest, stem
 from corpuscle.streaming.jobs import progress
 
 from . import experience, judge, report, retrieval, scoring
+from .ordering import settled
 
 #: Labels of the score's components.
 LABELS = ("Mandatory skills", "Preferred skills", "Years of experience")
@@ -159,10 +160,12 @@ def screen(documents: DataFrame, sections: DataFrame, skills: DataFrame, today:
     unreadable: (file, error) of documents that can't be used; one without text says so."""
     if skills.isEmpty():
         raise ValueError("no requirements could be read from the job description")
+    # each is read several times: what they come from is done once
+    documents = settled(documents)
     good = documents.where("ok")
-    kept = sections.join(good.select(F.col("doc_id").alias("_g")), F.col("doc_id") == F.col("_g"), "left_semi")
+    kept = settled(sections.join(good.select(F.col("doc_id").alias("_g")), F.col("doc_id") == F.col("_g"), "left_semi"))
     years = experience.estimate(kept, today)
-    assessments, _ = assess(kept, skills, top_k)
+    assessments = settled(assess(kept, skills, top_k)[0])
     people = good.select(F.col("doc_id").alias("_i"), "path", F.col("confidence").alias("extraction_confidence")).join(years, F.col("_i") == F.col("doc_id"))
     people = people.select("doc_id", "path", "extraction_confidence", F.lit(role).alias("role_title"), F.lit(min_years).cast("double").alias("min_years"), "years", "method", "warnings")
     scored = score_candidates(assessments, people)

@@ -9,6 +9,7 @@ from corpuscle.functions import quality as Q
 from corpuscle.functions.text import strip
 
 from . import dedup, layout
+from .ordering import settled
 
 
 def blocks_to_text(paragraphs: DataFrame) -> DataFrame:
@@ -47,7 +48,8 @@ def extract(blocks: DataFrame, pages: DataFrame, width: float = 595.0, links: Da
     head = layout.heading(first, F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("bold")).isNotNull()
     # one order over the pages of a document
     order = (F.col("page") * 1_000_000 + F.col("ord")).cast("long")
-    merged = layout.merge_paragraphs(placed.select("doc_id", "page", order.alias("ord"), "col", "text", "x0", "y0", "x1", "y1", "font_size", "in_table", head.alias("is_heading"), "bold"))
+    # what follows reads the paragraphs several times
+    merged = settled(layout.merge_paragraphs(placed.select("doc_id", "page", order.alias("ord"), "col", "text", "x0", "y0", "x1", "y1", "font_size", "in_table", head.alias("is_heading"), "bold")))
     sections = layout.sections(merged)
     of = pages.groupBy("doc_id").agg(F.count("page").alias("n_pages"), F.avg("ocr_confidence").alias("mean_ocr"), F.max("error").alias("error"))
     count = merged.groupBy(F.col("doc_id").alias("_n")).agg(F.count("*").alias("n_blocks"))

@@ -40,7 +40,7 @@ def read_pages(files: DataFrame, reader: Reader, most: int = MAX_PAGES) -> DataF
                         rows.append({"path": path, "page": n, "error": None, **{k: page.get(k) for k in ("n_pages", "width", "height", "images", "spans", "tables", "links")}})
                 except Exception as e:  # the reader is not ours: its failure is a row's, not the job's
                     rows = [r for r in rows if r["path"] != path]
-                    rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
+                    rows.append(dict.fromkeys(names) | {"path": path, "error": f"{type(e).__name__}: {e}"})
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({"page": "Int32", "n_pages": "Int32", "images": "Int32", "width": "Float64", "height": "Float64"})
 

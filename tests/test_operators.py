@@ -145,14 +145,14 @@ def test_pages_by_a_plugged_reader(spark):
     ranked, judged, bad = candidates.screen(docs.withColumn("path", F.concat(F.lit("in/"), "doc_id")), sections, asked, F.lit("2026-07-01").cast("date"), "Engineer", 5.0)
     top = ranked.orderBy("rank").first()
     # half of the chunks name no skill; the one that does is in experience with digits: strong
-    assert top.path == "in/a.pdf" and top.score == round(70 * 0.85 + 15 * (3.9 / 5), 1) and top.matched_skills == ["Built"]
-    assert top.summary == "Moderate match for Engineer. 1/1 required skills demonstrated (1 strongly). 0/1 preferred demonstrated. 3.9 years experience (below the 5-year bar)."
-    assert "3.9 years experience (5 required)" in top.missing_or_weak and top.explanation.startswith("Score 71/100 for a.pdf:\n  - Mandatory skills: 60 of 60 — 1 demonstrated")
+    assert top.path == "in/a.pdf" and top.score == round(70 * 0.85 + 15 * (2.9 / 5), 1) and top.matched_skills == ["Built"]
+    assert top.summary == "Moderate match for Engineer. 1/1 required skills demonstrated (1 strongly). 0/1 preferred demonstrated. 2.9 years experience (below the 5-year bar)."
+    assert "2.9 years experience (5 required)" in top.missing_or_weak and top.explanation.startswith("Score 68/100 for a.pdf:\n  - Mandatory skills: 60 of 60 — 1 demonstrated")
     assert [(r.file, r.error) for r in bad.collect()] == [("b.pdf", "ValueError: PDF is password-protected")]
     job = candidates.run_job("j1", ranked, bad, 3).first()
     assert (job.completed, job.failed, job.percent, job.leader) == (2, 1, 100, "in/a.pdf")
     shown = candidates.frontend(ranked, judged, sections).where("rank = 1").first()
-    assert shown.name == "Jane Roe" and shown.experienceYears == "3.9 Yrs" and shown.strengths[0].startswith("Built — ") and shown.avatarUrl.startswith("data:image/svg+xml;base64,")
+    assert shown.name == "Jane Roe" and shown.experienceYears == "2.9 Yrs" and shown.strengths[0].startswith("Built — ") and shown.avatarUrl.startswith("data:image/svg+xml;base64,")
     with pytest.raises(ValueError):
         candidates.screen(docs.withColumn("path", F.col("doc_id")), sections, asked.limit(0), F.current_date())
 
