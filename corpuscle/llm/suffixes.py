@@ -4,13 +4,16 @@ A passage is a run of at least LENGTH words (A-Z as a-z) that stands in two diff
 Only suffixes that start at minimiser positions are retained: the least of the hashes of K-word
 runs in each window of WINDOW such runs. Every LENGTH-word run has its minimiser in its first
 WINDOW places, and what follows there, at least PREFIX = LENGTH - WINDOW + 1 words, is the sort
-key of that suffix. Suffixes are ordered by a 64-bit fingerprint of those words; neighbours that
-agree are compared by the smallest and the greatest text among them, which Spark computes with a
-map-side combine instead of in a sorted run, so that a passage that a third of all documents
-share does not meet in one task. Suffixes with a neighbour in another text are then extended to
-the left and to the right: every LENGTH-word run that they are the minimiser of is looked up,
-blocks of such runs that agree as a whole once for all texts that have them. The spans are exactly the words inside runs that
-repeat in another text (up to collisions of 64-bit hashes).
+key of that suffix: two bytes of each word's hash, one word after the other, which orders the
+words as any alphabet would.
+
+All retained suffixes are range-partitioned and sorted by key, and neighbours are compared: those
+that agree on PREFIX words with a neighbour in another text go on. Ranges are cut by key and text,
+so that a passage that a third of all documents share is sorted by many tasks; what stands at the
+ends of a task is compared with the ends of the others. Suffixes with such a neighbour are
+extended to the left and to the right: every LENGTH-word run that they are the minimiser of is
+looked up, blocks of such runs that agree as a whole once for all texts that have them. The spans
+are exactly the words inside runs that repeat in another text (up to collisions of hashes).
 """
 
 from __future__ import annotations
@@ -62,7 +65,7 @@ def retained(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def suffix_table(docs: DataFrame) -> DataFrame:
-    """(prefix, node, low, high) of the retained suffixes of all texts; low and high count words of the text."""
+    """(key, node, low, high) of the retained suffixes of all texts; low and high count words of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,11 +73,79 @@ def suffix_table(docs: DataFrame) -> DataFrame:
             for w in words(b.column(1)):
                 if (got := retained(w.hash, w.offsets)) is None:
                     continue
-                row, place, low, high, runs = got
+                row, place, low, high, _ = got
                 base = w.offsets[row]
-                yield pa.RecordBatch.from_arrays([pa.array(runs.of(place, place + PREFIX).astype(np.int64)), pa.array(nodes[w.first + row]), pa.array((low - base).astype(np.int32)), pa.array((high - base).astype(np.int32))], ["prefix", "node", "low", "high"])
+                code = (w.hash >> np.uint64(48)).astype(">u2")
+                key = np.lib.stride_tricks.sliding_window_view(code, PREFIX)[place].tobytes()
+                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * PREFIX), len(place), [None, pa.py_buffer(key)])
+                yield pa.RecordBatch.from_arrays([keys.cast(pa.binary()), pa.array(nodes[w.first + row]), pa.array((low - base).astype(np.int32)), pa.array((high - base).astype(np.int32))], ["key", "node", "low", "high"])
+
+    return docs.select("node", "text").mapInArrow(run, "key binary, node long, low int, high int")
+
+
+#: Kinds of rows that a sorted task gives: a suffix with such a neighbour; one whose neighbour may
+#: stand in another task; a text of the task's first or last key.
+SHARED, OPEN, END = 0, 1, 2
+
+
+def neighbours(table: DataFrame) -> DataFrame:
+    """(node, low, high) of the suffixes whose key another text has too, from the sorted order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None  # the task's first key; the key that the rows so far end with
+        shared = False  # whether that key has been met in two texts
+        ends: list[int] = []  # its first and its latest text
+        held: list[np.ndarray] = []  # its rows while it has been met in one text alone
+
+        def rows(kind: int, key: bytes | None, r: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(r), kind, np.int32)), pa.array([key] * len(r), pa.binary()), pa.array(r[:, 0]), pa.array(r[:, 1].astype(np.int32)), pa.array(r[:, 2].astype(np.int32))], ["kind", "key", "node", "low", "high"])
+
+        def close(at_end: bool) -> Iterator[pa.RecordBatch]:
+            """The last key's rows are all there: at an end of the task others must be asked."""
+            if last is not None and (at_end or last == first):
+                yield rows(END, last, np.array([[ends[0], 0, 0], [ends[1], 0, 0]]))
+                if not shared:
+                    yield rows(OPEN, last, np.concatenate(held))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = b.column(0).cast(pa.binary(2 * PREFIX))
+            k = np.frombuffer(flat.buffers()[1], np.uint8, 2 * PREFIX * len(flat), flat.offset * 2 * PREFIX).reshape(len(flat), -1)
+            r = np.stack([b.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3)], axis=1)
+            cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+            starts, stops = np.concatenate([[0], cuts]), np.append(cuts, len(k))
+            several = r[starts, 0] != r[stops - 1, 0]
+            # the first run may go on with the last key, the last one may go on in the next batch
+            for i in sorted({0, len(starts) - 1}):
+                key, part = k[starts[i]].tobytes(), r[starts[i] : stops[i]]
+                if key != last:
+                    yield from close(False)
+                    first = key if first is None else first
+                    last, shared, ends, held = key, False, [int(part[0, 0]), int(part[-1, 0])], []
+                ends[1] = int(part[-1, 0])
+                if not shared and ends[0] != ends[1]:
+                    shared = True
+                    if held:
+                        yield rows(SHARED, None, np.concatenate(held))
+                    held = []
+                if shared:
+                    yield rows(SHARED, None, part)
+                else:
+                    held.append(part)
+                if i == 0 and len(starts) > 2:
+                    inside = np.repeat(several[1:-1], (stops - starts)[1:-1])
+                    found = r[stops[0] : starts[-1]][inside]
+                    if len(found):
+                        yield rows(SHARED, None, found)
+        yield from close(True)
 
-    return docs.select("node", "text").mapInArrow(run, "prefix long, node long, low int, high int")
+    order = ["key", "node", "low"]
+    found = table.repartitionByRange("key", "node").sortWithinPartitions(*order).mapInArrow(run, "kind int, key binary, node long, low int, high int")
+    found = staged(found, "suffix-neighbours")
+    ends = found.where(F.col("kind") == END).groupBy(F.col("key").alias("_key")).agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
+    met = found.where(F.col("kind") == OPEN).join(ends, F.col("key") == F.col("_key"), "left_semi")
+    return found.where(F.col("kind") == SHARED).select("node", "low", "high").unionAll(met.select("node", "low", "high"))
 
 
 def block_table(texts: DataFrame) -> DataFrame:
@@ -122,13 +193,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Equal texts of LENGTH words or more are repeated as a whole; the row with the smallest id is
     the first (of repeated ids each). Texts that are null, empty or shorter than LENGTH words have
     no row. "First" among different texts is by a hash of the text, the same on every run. A null
-    id is kept; extra columns are ignored; an empty table gives an empty result.
+    id is kept; repeated rows each have theirs; texts of any length are read whole; other columns
+    are ignored, whatever their names; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.where("text is not null").withColumn("node", F.conv(F.substring(F.md5("text"), 1, 16), 16, -10).cast("long"))
-    table = staged(suffix_table(docs), "suffixes")
-    shared = table.groupBy("prefix").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("prefix")
-    ranges = table.join(shared, "prefix").groupBy("node").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    ranges = neighbours(suffix_table(docs)).groupBy("node").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     # one row stands for equal texts: that of the smallest id
     heads = docs.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     heads = staged(heads.join(ranges, "node", "left").where("ranges is not null or copies > 1"), "suffix-heads")
