@@ -8,9 +8,12 @@ the target recall is reached: the stop is set on sample vectors with simulated n
 exactly the threshold, the hardest case, such that ``recall`` of them are in a visited cell from
 one side or the other. Candidates are then verified by their cosine in double precision.
 
-Cells are split into blocks of members and of queries of bounded size; a block pair counts
-links and keeps a spanning forest of them, so that what is emitted grows with the vectors and
-not with the pairs of a large group. Equal vectors are one node with a count.
+The grid grows with the vectors, PER_CELL to a cell on average, as long as the sample has
+PER_CENTROID vectors for each centroid; beyond that cells grow. Cells are split into blocks of
+members and of queries of bounded size; a block pair counts links and keeps a spanning forest of
+them, so that what is emitted grows with the vectors and not with the pairs of a large group.
+Equal vectors are one node with a count. Vectors travel as the bytes they came as (floats stay
+floats) and are brought to length one in double precision where they are compared.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import components, staged
 
-SAMPLE, MOST_CENTROIDS, PER_CELL = 8192, 128, 48
+SAMPLE, PER_CENTROID, PER_CELL = 32_768, 8, 48
 MEMBERS, QUERIES = 1024, 2048
 
 
@@ -89,13 +92,19 @@ class Grid:
             yield out
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _unit(column: pa.Array, wide: str) -> np.ndarray:
+    """Vectors of length one in double precision from their bytes; a second component of 0 for those
+    that have one alone, as the grid has two halves."""
+    v = np.frombuffer(b"".join(column.to_pylist()), wide).reshape(len(column), -1).astype(np.float64)
+    v = v / np.abs(v).max(1, keepdims=True, initial=np.finfo(float).tiny)
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), np.finfo(float).tiny)
+    return np.hstack([v, np.zeros_like(v)]) if v.shape[1] == 1 else v
 
 
-def search(nodes: DataFrame, grid: Grid, threshold: float, counts: dict[int, int]) -> DataFrame:
-    """nodes: (node, copies, cell, v). Rows (a, b, links): links that a task found for node a,
-    counted with copies; b not null: an edge of the task's spanning forest."""
+def search(nodes: DataFrame, grid: Grid, threshold: float, wide: str) -> DataFrame:
+    """nodes: (node, copies, cell, v), ``wide`` the type of v's numbers. Rows (a, b, links): links
+    that a task found for node a, counted with copies; b not null: an edge of the task's spanning
+    forest."""
     spark = nodes.sparkSession
     held = spark.sparkContext.broadcast(grid)
 
@@ -103,24 +112,24 @@ def search(nodes: DataFrame, grid: Grid, threshold: float, counts: dict[int, int
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 t = batch.slice(lo, 500)
-                cells = list(held.value.visits(_unit(t.column(3))))
+                cells = list(held.value.visits(_unit(t.column(1), wide)))
                 at = np.repeat(np.arange(len(t)), [len(c) for c in cells])
                 flat = np.concatenate([np.array(c, np.int32) for c in cells]) if cells else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), t.column(0).take(pa.array(at)), t.column(1).take(pa.array(at)), t.column(3).take(pa.array(at))], ["cell", "node", "copies", "v"])
-
-    asked = nodes.mapInArrow(visit, "cell int, node binary, copies long, v binary")
-    # number of blocks of each cell: at most one entry a cell, and cells are bounded
-    blocks = {c: -(-n // MEMBERS) for c, n in counts.items()}
-    many = {c: n for c, n in blocks.items() if n > 1}
-    split = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in sorted(many.items()) for x in kv]), F.col("cell")), F.lit(1)) if many else F.lit(1)
-    filled = F.col("cell").isin(sorted(counts)) if len(counts) < 0.9 * len(grid.books[0]) * len(grid.books[1]) else F.lit(True)
-    index = nodes.select("cell", F.pmod(F.xxhash64("node"), split).cast("int").alias("block"), "node", "copies", "v")
-    asked = asked.where(filled).withColumn("block", F.explode(F.sequence(F.lit(0), split.cast("int") - 1)))
-    # queries in parts: as many as the cell is asked by, per QUERIES; members go to each part
-    parts = asked.groupBy("cell").agg((F.floor(F.countDistinct("node") / QUERIES) + 1).cast("int").alias("parts")).where("parts > 1").withColumnRenamed("cell", "_cell")
-    parts = staged(parts, "grid-parts")
-    asked = asked.join(parts, F.col("cell") == F.col("_cell"), "left").withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.coalesce("parts", F.lit(1))).cast("int")).drop("_cell", "parts")
-    index = index.join(parts, F.col("cell") == F.col("_cell"), "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("_cell", "parts")
+                yield pa.RecordBatch.from_arrays([pa.array(flat), t.column(0).take(pa.array(at))], ["cell", "node"])
+
+    # the traversal is done once; cells that nothing is in are left out
+    filled = nodes.groupBy("cell").agg(F.count("*").alias("members"))
+    asked = staged(nodes.select("node", "v").mapInArrow(visit, "cell int, node binary").join(filled.select("cell"), "cell", "left_semi"), "grid-asked")
+    sizes = filled.join(asked.groupBy("cell").agg(F.count("*").alias("queries")), "cell")
+    sizes = staged(sizes.select(F.col("cell").alias("_cell"), F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("queries") / QUERIES).cast("int").alias("parts")), "grid-sizes")
+    # each block of members meets each part of the queries
+    same = F.col("cell") == F.col("_cell")
+    index = nodes.join(sizes, same).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    index = index.select("cell", "block", "part", "node", "copies", "v")
+    asked = asked.join(sizes, same).withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # named anew: both sides of the cogroup come from the same table
+    again = nodes.select(F.col("node").alias("_node"), F.col("copies").alias("_copies"), F.col("v").alias("_v"))
+    asked = asked.join(again, F.col("node") == F.col("_node")).select("cell", "block", "part", "node", F.col("_copies").alias("copies"), F.col("_v").alias("v"))
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
 
     def verify(members: pa.Table, queries: pa.Table) -> pa.Table:
@@ -129,7 +138,7 @@ def search(nodes: DataFrame, grid: Grid, threshold: float, counts: dict[int, int
         g, k = held.value, len(held.value.books[1])
         cell = members.column("cell")[0].as_py()
         names = members.column("node").to_pylist(), queries.column("node").to_pylist()
-        m, q = _unit(members.column("v")), _unit(queries.column("v"))
+        m, q = _unit(members.column("v"), wide), _unit(queries.column("v"), wide)
         cm, cq = np.asarray(members.column("copies")), np.asarray(queries.column("copies"))
         # a member whose own traversal comes to the query's cell finds the link there as well: the smaller name counts
         ea, eb = g.excess(m)
@@ -175,18 +184,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     its component has no other. Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    narrow = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     wide = F.col(vector_col).cast("array<double>")
     # the greatest component; null if one is null, NaN if one is: both rule the vector out
     most = F.aggregate(wide, F.lit(0.0), lambda s, v: F.when(s.isNull() | v.isNull(), F.lit(None)).otherwise(F.greatest(s, F.abs(v))))
     fine = F.coalesce((F.size(wide) > 0) & ~F.isnan(most) & (most > 0) & (most < float("inf")), F.lit(False))
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(fine, wide).alias("x"))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(fine, F.col(vector_col) if narrow else wide).alias("x"))
     rows = rows.withColumn("node", F.unhex(F.md5(F.to_json(F.struct("x")).cast("binary")))).withColumn("node", F.when(F.col("x").isNotNull(), F.col("node")))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("x").alias("x"))
     nodes = staged(nodes.withColumn("dim", F.size("x")), "grid-nodes")
     dims = [r["dim"] for r in nodes.groupBy("dim").count().orderBy("dim").collect()]  # one entry a vector length
     found = None
     for dim in dims:
-        part = _search_dim(nodes.where(F.col("dim") == dim), threshold, recall)
+        part = _search_dim(nodes.where(F.col("dim") == dim), threshold, recall, narrow)
         found = part if found is None else found.unionAll(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -201,36 +211,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
-def _search_dim(nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+def _search_dim(nodes: DataFrame, threshold: float, recall: float, narrow: bool) -> DataFrame:
+    wide = "float32" if narrow else "float64"
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-            v = v / np.abs(v).max(1, keepdims=True)
-            v = v / np.linalg.norm(v, axis=1, keepdims=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in v], pa.binary()), b.column(2)], ["node", "v", "copies"])
 
-    unit = staged(nodes.select("node", "x", "copies").mapInArrow(pack, "node binary, v binary, copies long"), "grid-unit")
-    n = unit.count()
+    packed = staged(nodes.select("node", "x", "copies").mapInArrow(pack, "node binary, v binary, copies long"), "grid-packed")
+    n = packed.count()
     # a bounded sample, those of the smallest hashes
-    sample = unit.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(SAMPLE).select("v").toPandas()
-    sample = np.stack([np.frombuffer(v, np.float64) for v in sample["v"]])
-    k = int(min(MOST_CENTROIDS, max(1, round((n / PER_CELL) ** 0.5)), len(sample)))
-    if sample.shape[1] == 1:
-        sample = np.hstack([sample, np.zeros_like(sample)])
+    sample = packed.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(SAMPLE).select("v").toPandas()
+    sample = _unit(pa.array(sample["v"].tolist(), pa.binary()), wide)
+    k = max(1, min(round((n / PER_CELL) ** 0.5), len(sample) // PER_CENTROID))
     grid = Grid(sample, k, threshold, recall)
-    held = unit.sparkSession.sparkContext.broadcast(grid)
-    flat = nodes.first()["dim"] == 1
+    held = packed.sparkSession.sparkContext.broadcast(grid)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = _unit(b.column(1))
-            if flat:
-                v = np.hstack([v, np.zeros_like(v)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(held.value.cell(v).astype(np.int32)), pa.array([r.tobytes() for r in v], pa.binary())], ["node", "copies", "cell", "v"])
-
-    cells = staged(unit.mapInArrow(index, "node binary, copies long, cell int, v binary"), "grid-cells")
-    counts = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}  # MOST_CENTROIDS squared at most
-    return search(cells, grid, threshold, counts)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(held.value.cell(_unit(b.column(1), wide)).astype(np.int32)), b.column(1)], ["node", "copies", "cell", "v"])
+
+    cells = staged(packed.mapInArrow(index, "node binary, copies long, cell int, v binary"), "grid-cells")
+    return search(cells, grid, threshold, wide)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
