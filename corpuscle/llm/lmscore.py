@@ -280,7 +280,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_fold: int = 1, id_col:
         order = np.argsort(code)
         code, lp_of = code[order], lp_of[order]
         out = []
-        for batch in block.select(["doc_id", "held_out", "row", "text"]).combine_chunks().to_batches():
+        for batch in block.select(["doc_id", "held_out", "row", "text"]).to_batches():
             texts = batch.column(3)
             n_words, known, base, score, size, rare, rare_n = ([] for _ in range(7))
             for w in words(texts):

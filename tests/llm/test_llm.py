@@ -138,6 +138,23 @@ def test_repeats(spark, docs, empty):
     assert suffixes.repeats(empty).count() == 0
 
 
+def test_sorted_neighbours_over_many_tasks(spark):
+    """A passage that every text has, cut over many range partitions; and keys that one text alone
+    repeats, which are no match."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(70))
+    alone = " ".join(f"q{i}" for i in range(60))
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(40)) + " " + passage) for i in range(60)] + [(100, alone + " and again " + alone)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    for parts in ("40", "1"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffixes.repeats(d).collect()}
+        assert got == {i: [(40, 110)] for i in range(60)}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 # ---- 3
 
 
@@ -667,6 +684,26 @@ def test_odd_tables_of_stages(spark, odd, tmp_path):
         assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
 
 
+def test_recall_over_many_cells(spark):
+    """Thousands of vectors in groups around the threshold, over a grid of many cells: links by the
+    index against all pairs."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(700, 24))
+    x = np.concatenate([centre, centre[:500] + rng.normal(scale=0.3, size=(500, 24)), *(centre[:300] + rng.normal(scale=0.33, size=(300, 24)) for _ in range(6))]).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    got = {r.vec_id: r for r in multiindex.near_duplicates(df).collect()}
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    links = near.sum(1)
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert round((len(x) / multiindex.PER_CELL) ** 0.5) ** 2 > 40 and links.sum() > 2000
+    # never more than there are; nearly all that there are
+    assert (found <= links).all() and found.sum() >= 0.97 * links.sum()
+
+
 def test_vectors_with_clashing_columns(spark):
     rows = [(1, [1.0, 0.0], 1, 2), (2, [0.99, 0.01], 1, 2), (3, None, 1, 2), (None, [1.0, 0.0], 1, 2), (1, [1.0, 0.0], 1, 2), (4, [1e200, 2e200], 1, 2), (5, [1e-170, 0.0], 1, 2), (6, [1.0, 2.0], 1, 2)]
     got = multiindex.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node int, cell int")).collect()
