@@ -14,7 +14,7 @@ from corpuscle.functions.text import basename, g, nearest, stem
 from corpuscle.streaming.jobs import progress
 
 from . import experience, judge, report, retrieval, scoring
-from .ordering import settled
+from .ordering import bounded, settled
 
 #: Labels of the score's components.
 LABELS = ("Mandatory skills", "Preferred skills", "Years of experience")
@@ -140,10 +140,10 @@ def assess(sections: DataFrame, skills: DataFrame, top_k: int = 3) -> tuple[Data
     (assessments, evidence): the best chunks per document and skill, and the depth that the rule
     reads from them; every document with sections has every skill."""
     chunks = retrieval.section_chunks(sections)
-    fused = retrieval.fuse(chunks, F.broadcast(retrieval.query_terms(skills)), skills)
+    fused = retrieval.fuse(chunks, bounded(retrieval.query_terms(skills)), skills)
     best = retrieval.top_chunks(fused, "fused", top_k).join(chunks, ["doc_id", "chunk_id"])
     found = judge.judge_by_rule(best.select("doc_id", "skill", "k", "section", "chunk")).withColumnRenamed("skill", "_s").withColumnRenamed("doc_id", "_d")
-    grid = sections.select("doc_id").distinct().crossJoin(F.broadcast(skills.select("pos", "skill", "importance")))  # the table of judgements itself
+    grid = sections.select("doc_id").distinct().crossJoin(bounded(skills.select("pos", "skill", "importance")))  # the table of judgements itself
     a = grid.join(found, (F.col("doc_id") == F.col("_d")) & (F.col("skill") == F.col("_s")), "left").drop("_d", "_s")
     quote = best.where(F.lower("chunk").contains(F.lower("skill"))).groupBy(F.col("doc_id").alias("_d"), F.col("skill").alias("_s")).agg(F.min_by(F.struct("chunk", "section"), "k").alias("q"))
     a = a.join(quote, (F.col("doc_id") == F.col("_d")) & (F.col("skill") == F.col("_s")), "left")

@@ -31,6 +31,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def running(df: DataFrame, order: Sequence[Column | str], value: Column | str | None = None, out: str = "before", last: str | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` (their number if none) over all rows before in ``order``;
     and, with ``last``, ``_last``: that column of the row before. The order should tell all rows

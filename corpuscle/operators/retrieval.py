@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from corpuscle.functions import text as T
 from corpuscle.functions.vectors import hashed
 
+from .ordering import bounded
+
 K1, B = 1.5, 0.75
 
 
@@ -31,8 +33,9 @@ def query_text(name, aliases, alternatives):
 
 
 def term_stats(chunks: DataFrame) -> DataFrame:
-    """(doc_id, chunk_id, term, tf, dl, n_chunks, avg_dl, df) of every term of every chunk. All
-    shuffles are on doc_id: its chunks are the corpus that df and the mean length refer to."""
+    """(doc_id, chunk_id, term, tf, dl, n_chunks, avg_dl, df) of every term of every chunk. Terms are
+    counted by document, chunk and term; a document's chunks are the corpus that df and the mean
+    length refer to."""
     sized = chunks.select("doc_id", "chunk_id", T.tokens(F.col("chunk")).alias("w")).withColumn("dl", F.size("w"))
     doc = sized.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avg_dl"))
     tf = sized.select("doc_id", "chunk_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
@@ -66,10 +69,10 @@ def fuse(chunks: DataFrame, queries: DataFrame, skills: DataFrame, w_bm25: float
     """skills: (skill, q_text). Every chunk with every skill of its document: bm25, semantic
     (cosine of hashed vectors) and their fusion. The grid of skills and chunks is what is asked
     for: each skill scales over all chunks of the document."""
-    grid = chunks.select("doc_id", "chunk_id").crossJoin(F.broadcast(skills.select("skill")))
+    grid = chunks.select("doc_id", "chunk_id").crossJoin(bounded(skills.select("skill")))
     left = hashed(chunks, "chunk", "doc_id", "chunk_id")
     right = hashed(skills, "q_text", "skill").select("skill", "bucket", F.col("w").alias("v"))
-    semantic = left.join(F.broadcast(right), "bucket").groupBy("doc_id", "chunk_id", "skill").agg(F.sum(F.col("w") * F.col("v")).alias("semantic"))
+    semantic = left.join(bounded(right), "bucket").groupBy("doc_id", "chunk_id", "skill").agg(F.sum(F.col("w") * F.col("v")).alias("semantic"))
     both = grid.join(bm25(chunks, queries), ["doc_id", "chunk_id", "skill"], "left").join(semantic, ["doc_id", "chunk_id", "skill"], "left").fillna(0.0, ["bm25", "semantic"])
     return both.withColumn("fused", w_bm25 * minmax("bm25", "doc_id", "skill") + w_semantic * minmax("semantic", "doc_id", "skill"))
 
