@@ -29,8 +29,10 @@ def unit(a: Column) -> Column:
 
 def features(text: Column) -> Column:
     """Tokens and character trigrams of the lower-cased text."""
-    low = F.lower(text)
-    grams = F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, 3)))
+    # characters once, then side by side: a substring would be looked for from the start each time
+    c = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))
+    n = F.greatest(F.size(c) - 2, F.lit(0))
+    grams = F.zip_with(F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), lambda x, y: F.concat(x, y)), F.slice(c, 3, n), lambda x, y: F.concat(x, y))
     return F.concat(tokens(text), F.coalesce(grams, F.array().cast("array<string>")))
 
 

@@ -115,8 +115,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_chunks(scored.withColumn("bm25", r6("bm25")), "bm25", 3).select("doc_id", "skill", F.col("k").cast("long").alias("k"), F.col("chunk_id").cast("long").alias("chunk_id"), "bm25")
 
 
-_HASHED = r"""SELECT {keys}, ('0x' || substr(md5(f), 31, 2))::INT AS bucket, count(*) AS n FROM (SELECT {keys}, unnest(list_concat(""" + _TOK.format("{text}") + r""",
-  list_transform(range(1, greatest(length({text}) - 1, 1)), lambda i: substr(lower({text}), i, 3)))) AS f FROM {table}) GROUP BY ALL"""
+_HASHED = r"""SELECT {keys}, ('0x' || substr(md5(f), 31, 2))::INT AS bucket, count(*) AS n FROM (SELECT {keys}, unnest(list_concat(w,
+  list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2]))) AS f FROM (SELECT {keys}, """ + _TOK.format("{text}") + r""" AS w, string_split(lower({text}), '') AS c FROM {table})) GROUP BY ALL"""
 
 
 @register(f"""WITH h AS ({_HASHED.format(keys='doc_id', text='text', table='documents')})
