@@ -77,6 +77,21 @@ def near_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     return pairs.select(F.col("doc_id").alias("a"), F.col("other").alias("b"), d.cast("int").alias("d")).distinct()
 
 
+def duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
+    """docs: (doc_id, text, ok). (a, b, d) of documents that could be read, nearest pairs first:
+    equal texts (d 0), each with the smallest document of its text, and texts whose fingerprints
+    are at most ``distance`` bits apart, each by its smallest document."""
+    good = docs.where("ok").select("doc_id", "text")
+    prints = simhash(good).join(good.select(F.col("doc_id").alias("_i"), exact_fingerprint(F.col("text")).alias("exact")), F.col("doc_id") == F.col("_i")).drop("_i")
+    first = prints.groupBy(F.col("exact").alias("_e")).agg(F.min("doc_id").alias("a"))
+    same = prints.join(first, F.col("exact") == F.col("_e")).where("doc_id != a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("d"))
+    # texts that differ with one fingerprint: each text's smallest document with that of the fingerprint
+    texts = prints.join(first, F.col("exact") == F.col("_e")).where("doc_id = a").select("doc_id", "fp")
+    least = texts.groupBy(F.col("fp").alias("_f")).agg(F.min("doc_id").alias("a"))
+    alike = texts.join(least, F.col("fp") == F.col("_f")).where("doc_id != a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("d"))
+    return same.unionAll(alike).unionAll(near_pairs(texts, distance)).orderBy("d", "a", "b")
+
+
 def classes(pairs: DataFrame, nodes: DataFrame, ) -> DataFrame:
     """nodes: (doc_id). (doc_id, rep): the smallest document reachable over pairs (a, b), by
     minimum labels that also jump to their label's label, checkpointed each round."""

@@ -37,9 +37,9 @@ def extract(blocks: DataFrame, pages: DataFrame, width: float = 595.0, links: Da
 
     blocks: (doc_id, page, block_id, text, x0, y0, x1, y1, font_size, bold). pages: (doc_id, page,
     method, ocr_confidence, error); a document that could not be read has one page row with its
-    error and no blocks. documents: doc_id, text, n_blocks, n_pages, method, q_score, verdict,
-    exact_fingerprint, near_fingerprint, confidence, ok, error; links, where given, are added to
-    the text after fingerprints and quality are taken. sections: doc_id, pos, section, body.
+    error and no blocks. documents: doc_id, text, n_blocks, n_pages, n_columns (the most
+    of a page), method, q_score, verdict, exact_fingerprint, near_fingerprint, confidence, ok,
+    error; links, where given, are added to the text after fingerprints and quality are taken. sections: doc_id, pos, section, body.
     """
     keys = ["doc_id", "page"]
     placed = layout.reading_order(blocks, layout.gutters(blocks, width, keys), keys, width=width)
@@ -52,17 +52,17 @@ def extract(blocks: DataFrame, pages: DataFrame, width: float = 595.0, links: Da
     merged = settled(layout.merge_paragraphs(placed.select("doc_id", "page", order.alias("ord"), "col", "text", "x0", "y0", "x1", "y1", "font_size", "in_table", head.alias("is_heading"), "bold")))
     sections = layout.sections(merged)
     of = pages.groupBy("doc_id").agg(F.count("page").alias("n_pages"), F.avg("ocr_confidence").alias("mean_ocr"), F.max("error").alias("error"))
-    count = merged.groupBy(F.col("doc_id").alias("_n")).agg(F.count("*").alias("n_blocks"))
+    count = merged.groupBy(F.col("doc_id").alias("_n")).agg(F.count("*").alias("n_blocks"), F.when(F.max("col") > 0, 2).otherwise(1).alias("n_columns"))
     text = blocks_to_text(merged).withColumnRenamed("doc_id", "_t")
     d = of.join(count, F.col("doc_id") == F.col("_n"), "left").join(text, F.col("doc_id") == F.col("_t"), "left").drop("_n", "_t")
-    d = d.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
+    d = d.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0))).withColumn("n_columns", F.coalesce("n_columns", F.lit(0)))
     d = Q.signals(d, pages=F.greatest(F.lit(1), F.col("n_pages")))
     prints = dedup.simhash(d).select(F.col("doc_id").alias("_p"), dedup.hex16(F.col("fp")).alias("near_fingerprint"))
     d = d.join(prints, F.col("doc_id") == F.col("_p")).join(method_of(pages).withColumnRenamed("doc_id", "_m"), F.col("doc_id") == F.col("_m"))
     ok = usable(F.col("error"), F.col("text"))
     sure = F.when(ok, Q.confidence(F.col("q_score"), F.col("mean_ocr"))).otherwise(0.0)
     exact = dedup.exact_fingerprint(F.col("text"))
-    out = d.select("doc_id", "text", "n_blocks", "n_pages", "method", "q_score", "verdict", exact.alias("exact_fingerprint"), "near_fingerprint", sure.alias("confidence"), ok.alias("ok"), "error")
+    out = d.select("doc_id", "text", "n_blocks", "n_pages", "n_columns", "method", "q_score", "verdict", exact.alias("exact_fingerprint"), "near_fingerprint", sure.alias("confidence"), ok.alias("ok"), "error")
     if links is not None:
         named = links.select(F.col("doc_id").alias("_l"), "links")
         tail = F.when(F.size("links") > 0, F.concat(F.lit("\n\n"), F.array_join("links", "\n"))).otherwise("")

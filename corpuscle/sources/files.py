@@ -174,10 +174,35 @@ CANDIDATE = "path string, rank long, score double, summary string, matched_skill
 RANKING = f"job string, generated_seconds double, shortlist array<struct<{', '.join(f'{n}:{t}' for n, t in (x.split(' ', 1) for x in CANDIDATE.split(', ')))}>>, duplicates_folded array<struct<path:string,score:double,duplicate_of:string>>, unreadable array<struct<file:string,error:string>>"
 
 
-def read_rankings(spark: SparkSession, *targets: str) -> DataFrame:
-    """(file, job, candidate columns) of every *_ranking.json below the targets, each file once."""
+def read_rankings(spark: SparkSession, *targets: str, folded: bool = False) -> DataFrame:
+    """(file, job, candidate columns) of every *_ranking.json below the targets, each file once;
+    with ``folded`` also the copies folded into others (rank null, duplicate_of)."""
     j = spark.read.schema(RANKING).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_ranking.json").json(list(targets))
-    return j.select(F.input_file_name().alias("file"), "job", F.inline("shortlist")).dropDuplicates(["file", "path", "rank"])
+    j = j.withColumn("file", F.input_file_name())
+    rows = j.select("file", "job", F.inline("shortlist")).dropDuplicates(["file", "path", "rank"])
+    if not folded:
+        return rows
+    copies = j.select("file", "job", F.inline("duplicates_folded")).dropDuplicates(["file", "path"])
+    return rows.withColumn("duplicate_of", F.lit(None).cast("string")).unionByName(copies, allowMissingColumns=True)
+
+
+def read_job(spark: SparkSession, target: str) -> DataFrame:
+    """(text): a job description; the content of ``target`` if that is an existing file, else
+    ``target`` itself."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    if "\n" not in target and target.strip():
+        path = jvm.org.apache.hadoop.fs.Path(target.strip())
+        system = path.getFileSystem(conf)
+        if system.exists(path) and system.getFileStatus(path).isFile():
+            return spark.read.text(target.strip(), wholetext=True).select(F.col("value").alias("text"))
+    return spark.range(1).select(F.lit(target).alias("text"))
+
+
+def store_documents(documents: DataFrame, directory: str) -> None:
+    """Extracted documents as JSON rows below ``directory``/json and their texts, one row each with
+    the path, below ``directory``/text."""
+    documents.write.mode("overwrite").json(f"{directory}/json")
+    documents.where("ok").select("path", "text").write.mode("overwrite").parquet(f"{directory}/text")
 
 
 def write_ranking(ranked: DataFrame, path: str, job: str, seconds: float = 0.0, folded: DataFrame | None = None, unreadable: DataFrame | None = None) -> None:

@@ -181,6 +181,28 @@ def test_stored_results_and_labels(spark, tmp_path):
     assert report.new_uploads(up, up.where("ord < 3")).count() == 4
 
 
+def test_job_text_and_stored_documents(spark, tmp_path):
+    (tmp_path / "jd.txt").write_text("Engineer\nPython")
+    assert files.read_job(spark, str(tmp_path / "jd.txt")).first().text == "Engineer\nPython"
+    assert files.read_job(spark, "Engineer, Python").first().text == "Engineer, Python"
+    d = spark.createDataFrame([("a.pdf", "text", True), ("b.pdf", "", False)], "path string, text string, ok boolean")
+    files.store_documents(d, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out/json")).count() == 2 and spark.read.parquet(str(tmp_path / "out/text")).count() == 1
+
+
+def test_duplicates_nearest_first(spark):
+    long = " ".join(f"word{i}" for i in range(400))
+    rows = [(1, long, True), (2, long, True), (3, long.upper() + "!", True), (4, long + " tail", True), (5, "other words are here", True), (6, long, False)]
+    got = [tuple(r) for r in dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string, ok boolean")).collect()]
+    assert got[:2] == [(1, 2, 0), (1, 3, 0)] and all(d <= 3 for *_, d in got) and not any(6 in r[:2] or 5 in r[:2] for r in got)
+
+
+def test_folded_copies_are_read(spark, tmp_path):
+    (tmp_path / "x_ranking.json").write_text('{"job": "j", "shortlist": [{"path": "a.pdf", "rank": 1, "score": 50.0}], "duplicates_folded": [{"path": "b.pdf", "score": 50.0, "duplicate_of": "a.pdf"}]}')
+    got = {r.path: (r["rank"], r.duplicate_of) for r in files.read_rankings(spark, str(tmp_path), folded=True).collect()}
+    assert got == {"a.pdf": (1, None), "b.pdf": (None, "a.pdf")} and files.load_ranking(spark, str(tmp_path)).count() == 1
+
+
 def test_grades_are_few(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "MOST_GRADES", 3)
     d = spark.range(9).selectExpr("id as name", "double(id) as score", "double(id % 4) as grade")
