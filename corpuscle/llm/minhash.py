@@ -28,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, content_key, staged
-from .wordhash import mix, shingles, words
+from .wordhash import mix, pieces, shingles, words
 
 K = 5
 BINS, BANDS, ROWS = 256, 20, 6
@@ -239,8 +240,9 @@ def verify(pairs: DataFrame, texts: DataFrame, held, threshold: float) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                t = batch.slice(lo, 1000)
+            size = np.asarray(pc.binary_length(batch.column(2)).fill_null(0)).astype(np.int64) + np.asarray(pc.binary_length(batch.column(3)).fill_null(0))
+            for lo, hi in pieces(np.concatenate([[0], np.cumsum(size)])):
+                t = batch.slice(lo, hi - lo)
                 keep = pa.array(similarity(t.column(2), t.column(3), held.value) >= threshold)
                 yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], ["a", "b"])
 

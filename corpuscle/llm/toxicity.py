@@ -57,28 +57,31 @@ def fit(texts: pa.Array, labels: np.ndarray, weight: np.ndarray | None = None, s
     ``least_docs`` documents have it and its share of toxic documents differs from that of
     others by ``least_z`` standard errors. ``weight``: of each document, 1 on average."""
     weight = np.ones(len(labels)) if weight is None else weight
-    f, s, d, n_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    size, n, y = 1 << BITS, len(labels), labels.astype(float)
+    x, m, v = np.concatenate([np.zeros(size), [-5.0]]), np.zeros(size + 1), np.zeros(size + 1)
+    # the texts are read twice: only places of features that have a weight are ever held together
+    docs, toxic = np.zeros(size), np.zeros(size)
+    for w in words(texts, NOT_ALNUM):
+        pair = np.unique(bags(w)[0] * w.rows + w.row_of)
+        docs += np.bincount(pair // w.rows, minlength=size)
+        toxic += np.bincount(pair // w.rows, y[w.first + pair % w.rows], size)
+    if not docs.any() or y.min() == y.max():
+        return x
+    share = docs / n
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / y.sum() + 1 / (n - y.sum())))
+    z = (toxic / y.sum() - (docs - toxic) / (n - y.sum())) / error
+    keep = (docs >= least_docs) & (np.abs(z) >= least_z)
+    f, s, d, n_s = [], [], [], 0
     for w in words(texts, NOT_ALNUM):
         features, first, row = bags(w)
         if len(first):
             sentence, feature = presence(features, first)
-            f.append(feature)
-            s.append(n_s + sentence)
+            kept = keep[feature]
+            f.append(feature[kept])
+            s.append(n_s + sentence[kept])
             d.append(row + w.first)
             n_s += len(first)
     f, s, d = map(np.concatenate, (f, s, d))
-    size, n, y = 1 << BITS, len(labels), labels.astype(float)
-    x, m, v = np.concatenate([np.zeros(size), [-5.0]]), np.zeros(size + 1), np.zeros(size + 1)
-    if not len(f) or y.min() == y.max():
-        return x
-    pair = np.unique(f * n + d[s])
-    docs = np.bincount(pair // n, minlength=size)
-    toxic = np.bincount(pair // n, y[pair % n], size)
-    share = docs / n
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / y.sum() + 1 / (n - y.sum())))
-    z = (toxic / y.sum() - (docs - toxic) / (n - y.sum())) / error
-    keep = ((docs >= least_docs) & (np.abs(z) >= least_z))[f]
-    f, s = f[keep], s[keep]
     for t in range(1, steps + 1):
         p = sigmoid(np.bincount(s, x[f], n_s) + x[-1])
         clean = np.bincount(d, np.log1p(-np.minimum(p, 1 - 1e-12)), n)  # log of the product of 1 - p

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.llm import common, decontamination, lmscore, minhash, mixing, multiindex, secretscan, sharding, suffixes, tokencount, toxicity
+from corpuscle.llm import common, decontamination, lmscore, minhash, mixing, multiindex, secretscan, sharding, suffixes, tokencount, toxicity, wordhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, score double"
 
@@ -557,6 +558,36 @@ def test_sampled_classes_keep_their_shares(spark):
     assert abs(bias[0] - bias[1]) < 1.5
 
 
+def test_fit_and_signatures_need_little_memory(monkeypatch):
+    """What a task of the pipeline's first two stages holds at once is bounded by a chunk of texts
+    and by the features that have a weight, and nothing depends on where chunks end."""
+    rng = random.Random(8)
+    vocab = [f"w{i}ord" for i in range(2000)]
+    y = np.array([i % 5 == 0 for i in range(4000)]).astype(int)
+    texts = pa.array([". ".join(" ".join(rng.choice(vocab) for _ in range(10)) for _ in range(15)) + (" vile" if t else "") for t in y])
+    factor = np.ones((2, 1 << minhash.COUNTER_BITS), np.float32)
+
+    def signed():
+        for first, rows, h, row, w in minhash.weighted(texts, factor):
+            which, bands, sketch = minhash.signatures(rows, h, row, w)
+            yield np.column_stack([which + first, bands[:, :2], sketch[:, :2]])
+
+    def measured(f):
+        f()  # tables that are kept
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    weights, fit_mb = measured(lambda: toxicity.fit(texts, y, steps=3))
+    names, sign_mb = measured(lambda: np.concatenate(list(signed())))
+    assert fit_mb < 60 and sign_mb < 60, (fit_mb, sign_mb)
+    monkeypatch.setattr(wordhash, "CHUNK", 5000)
+    assert weights[:-1].any() and (toxicity.fit(texts, y, steps=3) == weights).all()
+    assert (np.concatenate(list(signed())) == names).all()
+
+
 # ---- 10
 
 
