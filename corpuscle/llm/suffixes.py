@@ -174,14 +174,16 @@ def block_table(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "block long, node long, low int, runs array<long>")
 
 
-def merged(spans: list[tuple[int, int]]) -> list[dict]:
-    out: list[dict] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], b)
-        else:
-            out.append({"start": a, "end": b})
-    return out
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray, rows: int) -> pa.Array:
+    """Of each row the union of its spans: structs of start and end, ascending and apart."""
+    wide = int(end.max(initial=0)) + 1
+    order = np.lexsort((start, row))
+    start, reach = (row * wide + start)[order], np.maximum.accumulate((row * wide + end)[order])
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > reach[:-1]  # a row's numbers are all beyond those of the row before
+    start, end = start[new], reach[np.append(new[1:], True)[: len(new)]]
+    offsets = np.searchsorted(start, np.arange(rows + 1) * wide).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array((x % wide).astype(np.int32)) for x in (start, end)], ["start", "end"]))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,12 +222,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     span = "array<struct<start:int,end:int>>"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            rows = [x or [] for x in b.column(1).to_pylist()]
-            every = [merged([(x["start"], x["end"]) for x in r]) for r in rows]
-            later = [merged([(x["start"], x["end"]) for x in r if x["later"]]) for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(every, kind), pa.array(later, kind)], ["node", "spans", "later_spans"])
+            flat = b.column(1).flatten()
+            row = np.repeat(np.arange(b.num_rows), np.asarray(b.column(1).value_lengths().fill_null(0)))
+            start, end = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
+            late = flat.field(2).to_numpy(zero_copy_only=False).astype(bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), merged(row, start, end, b.num_rows), merged(row[late], start[late], end[late], b.num_rows)], ["node", "spans", "later_spans"])
 
     spans = spans.mapInArrow(merge, f"node long, spans {span}, later_spans {span}")
     found = heads.select("node", "first_id", "copies").join(spans, "node", "left").where("spans is not null or copies > 1").withColumnRenamed("node", "_node")

@@ -139,6 +139,38 @@ def test_repeats(spark, docs, empty):
     assert suffixes.repeats(empty).count() == 0
 
 
+def test_spans_merge_without_python_objects():
+    """Against the definition, and in little memory where a batch has many spans."""
+    rng = np.random.default_rng(4)
+    rows = 300
+    row = np.sort(rng.integers(0, rows, 2000))
+    start = rng.integers(0, 400, 2000)
+    end = start + rng.integers(1, 12, 2000)
+    row, start, end = (x[row % 7 != 3] for x in (row, start, end))
+    want = []
+    for r in range(rows):
+        out = []
+        for a, b in sorted(zip(start[row == r].tolist(), end[row == r].tolist())):
+            if out and a <= out[-1]["end"]:
+                out[-1]["end"] = max(out[-1]["end"], b)
+            else:
+                out.append({"start": a, "end": b})
+        want.append(out)
+    mixed = rng.permutation(len(row))
+    assert suffixes.merged(row, start, end, rows).to_pylist() == suffixes.merged(row[mixed], start[mixed], end[mixed], rows).to_pylist() == want
+    none = np.zeros(0, np.int64)
+    assert suffixes.merged(none, none, none, 2).to_pylist() == [[], []] and suffixes.merged(none, none, none, 0).to_pylist() == []
+    n = 300_000
+    row, start = np.repeat(np.arange(n // 100), 100), np.tile(np.arange(100) * 60, n // 100)
+    tracemalloc.start()
+    try:
+        got = suffixes.merged(row, start, start + 50, n // 100)
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
+    assert len(got) == n // 100 and len(got.flatten()) == n
+
+
 def test_sorted_neighbours_over_many_tasks(spark):
     """A passage that every text has, cut over many range partitions; and keys that one text alone
     repeats, which are no match."""
