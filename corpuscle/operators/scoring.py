@@ -56,12 +56,13 @@ def score(rows: DataFrame, required: Column | None = None, years: Column | None
     required = F.lit(None).cast("double") if required is None else required
     years = F.lit(None).cast("double") if years is None else years
     use = F.coalesce((required > 0) & years.isNotNull(), F.lit(False))
-    scale = F.when(use, (100.0 - EXPERIENCE) / 100).otherwise(1.0)
-    m = F.when((F.col("p_n") == 0) & (F.col("m_n") > 0), MANDATORY + PREFERRED).when((F.col("m_n") == 0) & (F.col("p_n") > 0), 0.0).otherwise(MANDATORY) * scale
-    p = F.when((F.col("p_n") == 0) & (F.col("m_n") > 0), 0.0).when((F.col("m_n") == 0) & (F.col("p_n") > 0), MANDATORY + PREFERRED).otherwise(PREFERRED) * scale
-    part = lambda s, n, w: F.coalesce(F.try_divide(F.col(s), F.col(n)), F.lit(0.0)) * w
+    # multiplied first and divided last: points that end on a half cent must not fall below it
+    left = F.when(use, 100.0 - EXPERIENCE).otherwise(100.0)
+    m = F.when((F.col("p_n") == 0) & (F.col("m_n") > 0), MANDATORY + PREFERRED).when((F.col("m_n") == 0) & (F.col("p_n") > 0), 0.0).otherwise(MANDATORY)
+    p = F.when((F.col("p_n") == 0) & (F.col("m_n") > 0), 0.0).when((F.col("m_n") == 0) & (F.col("p_n") > 0), MANDATORY + PREFERRED).otherwise(PREFERRED)
+    part = lambda s, n, w: F.coalesce(F.try_divide(F.col(s), F.col(n)), F.lit(0.0)) * w * left / 100
     e = F.when(use, experience_credit(years, required) * EXPERIENCE).otherwise(0.0)
-    out = rows.withColumns({"m_possible": m, "p_possible": p, "m_earned": part("m_sum", "m_n", m), "p_earned": part("p_sum", "p_n", p), "e_earned": e})
+    out = rows.withColumns({"m_possible": m * left / 100, "p_possible": p * left / 100, "m_earned": part("m_sum", "m_n", m), "p_earned": part("p_sum", "p_n", p), "e_earned": e})
     return out.withColumn("score", F.col("m_earned") + F.col("p_earned") + F.col("e_earned"))
 
 
