@@ -34,7 +34,7 @@ def lines():
     return "l_orderkey long, l_linenumber int, l_returnflag string, l_discount double", rows
 
 
-@pytest.mark.parametrize("name", ["candidate_report", "frontend_rows"])
+@pytest.mark.parametrize("name", ["candidate_report", "frontend_rows", "sheet_export"])
 def test_points_on_a_half_cent(spark, tmp_path, name):
     got, want = held(spark, tmp_path, name, lineitem=lines())
     assert got == want and len(got) == 980
