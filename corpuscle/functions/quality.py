@@ -54,7 +54,8 @@ def signals(docs: DataFrame, text_col: str = "text", pages: Column | int = 1) ->
     )
     total = F.lit(1.0) - F.col("p_density") - F.col("p_garbage") - F.col("p_alpha") - F.col("p_single") - F.col("p_plausible") - F.col("p_landmarks")
     empty = F.col("chars") == 0
-    d = d.withColumn("q_score", F.when(empty, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))))
+    # six places, so that 1 - 0.55 reaches the limit of 0.45
+    d = d.withColumn("q_score", F.when(empty, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6)))
     return d.withColumn("verdict", verdict(F.col("q_score"), empty)).drop("_t", "_w")
 
 

@@ -38,3 +38,10 @@ def lines():
 def test_points_on_a_half_cent(spark, tmp_path, name):
     got, want = held(spark, tmp_path, name, lineitem=lines())
     assert got == want and len(got) == 980
+
+
+def test_a_score_on_the_verdicts_limit(spark, tmp_path):
+    """1 - 0.55 is 0.45: suspect, not bad."""
+    texts = ["skills and experience", "Education", None, "", "x" * 130 + " skills", "contact me at a@b.co", "(cid:7) skills of somebody, written down"]
+    got, want = held(spark, tmp_path, "extract_documents", documents=("doc_id long, text string", list(enumerate(texts, 1))))
+    assert got == want and "suspect" in {r[3] for r in got}
