@@ -45,3 +45,18 @@ def test_a_score_on_the_verdicts_limit(spark, tmp_path):
     texts = ["skills and experience", "Education", None, "", "x" * 130 + " skills", "contact me at a@b.co", "(cid:7) skills of somebody, written down"]
     got, want = held(spark, tmp_path, "extract_documents", documents=("doc_id long, text string", list(enumerate(texts, 1))))
     assert got == want and "suspect" in {r[3] for r in got}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+TEXTS = ["", None, "hand", "Ünï çöde \U0001f600\U0001f600 hand", "thing heat\nhand and mention\n\nches tion", "ab", "x" * 50 + "\n" + "hand " * 30, "eren eren\nthing\nthing heat heat\neren 12"]
+
+
+def test_features_are_counted_within_their_row(spark, tmp_path):
+    """Equal to the SQL, also for an id that comes twice; one shuffle, of counts."""
+    got, want = held(spark, tmp_path, "hashing_vector", documents=("doc_id long, text string", [*enumerate(TEXTS), (4, "hand 12")]))
+    assert got == want and want
+    _, physical = plan(q.QUERIES["hashing_vector"](spark, str(tmp_path)))
+    assert physical.count("Exchange hashpartitioning") == 1
