@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from itertools import combinations
 
 import numpy as np
@@ -16,6 +17,7 @@ from .ordering import settled
 
 #: Six blocks of the 64 bits; at most 3 flipped bits leave three blocks as they were.
 BLOCKS = (11, 11, 11, 11, 10, 10)
+_SPACE = re.compile(b" ")
 
 
 def exact_fingerprint(text: Column) -> Column:
@@ -35,14 +37,18 @@ def hamming(a: Column, b: Column) -> Column:
 
 def _fingerprints(plain_texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> int:
-        w = (text or "").split(" ")
-        w = w if w != [""] else []
-        grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else w
-        if not grams:
+        b = (text or "").encode()
+        if not b:
             return 0
-        low = b"".join(hashlib.md5(g.encode()).digest()[8:] for g in grams)
-        ones = np.unpackbits(np.frombuffer(low, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        return int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big", signed=True)
+        # words are one space apart, so three of them are a part of the text
+        ends = [m.start() for m in _SPACE.finditer(b)]
+        starts, ends = [0, *[e + 1 for e in ends]], [*ends, len(b)]
+        low = b"".join([hashlib.md5(b[i:j]).digest()[8:] for i, j in (zip(starts, ends[2:]) if len(ends) >= 3 else zip(starts, ends))])
+        n = len(low) // 8
+        ones = np.zeros(64, np.int64)
+        for lo in range(0, len(low), 1 << 16):
+            ones += np.unpackbits(np.frombuffer(low[lo : lo + (1 << 16)], np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
     return plain_texts.map(one)
 
@@ -63,7 +69,8 @@ def near_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     size of the corpus; each pair is compared once for each key that it shares."""
     if distance > 3:
         raise ValueError("six blocks find up to three differing bits")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    # fingerprints come from whole texts: they are made once for both sides
+    nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     at, masks = 0, []
     for width in BLOCKS:
         masks.append(((1 << width) - 1) << at)

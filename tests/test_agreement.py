@@ -60,3 +60,9 @@ def test_features_are_counted_within_their_row(spark, tmp_path):
     assert got == want and want
     _, physical = plan(q.QUERIES["hashing_vector"](spark, str(tmp_path)))
     assert physical.count("Exchange hashpartitioning") == 1
+
+
+def test_fingerprints_are_made_once(spark, tmp_path):
+    got, want = held(spark, tmp_path, "dup_components", documents=("doc_id long, text string", list(enumerate(TEXTS[2:] * 2))))
+    assert got == want and want
+    assert "ArrowEvalPython" not in plan(q.QUERIES["dup_components"](spark, str(tmp_path)))[0]
