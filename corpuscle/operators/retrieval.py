@@ -32,15 +32,25 @@ def query_text(name, aliases, alternatives):
     return F.concat_ws(" ", F.array(name), aliases, alternatives)
 
 
+def parts(df: DataFrame, mb: int = 8) -> int:
+    """Partitions of about ``mb`` MB of what ``df`` reads, as its files say; the session's at least."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (mb << 20))), 10_000)
+
+
 def term_stats(chunks: DataFrame) -> DataFrame:
     """(doc_id, chunk_id, term, tf, dl, n_chunks, avg_dl, df) of every term of every chunk. Terms are
     counted by document, chunk and term; a document's chunks are the corpus that df and the mean
     length refer to."""
-    sized = chunks.select("doc_id", "chunk_id", T.tokens(F.col("chunk")).alias("w")).withColumn("dl", F.size("w"))
-    doc = sized.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avg_dl"))
-    tf = sized.select("doc_id", "chunk_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    # texts move once, by document, into as many parts as keep a part's terms in memory; what follows needs no other order
+    own = chunks.select("doc_id", "chunk_id", "chunk").repartition(parts(chunks), "doc_id")
+    of = W.partitionBy("doc_id")
+    sized = own.select("doc_id", "chunk_id", T.tokens(F.col("chunk")).alias("w")).withColumn("dl", F.size("w"))
+    sized = sized.withColumns({"n_chunks": F.count("*").over(of), "avg_dl": F.avg("dl").over(of)})
+    tf = sized.select("doc_id", "chunk_id", "dl", "n_chunks", "avg_dl", F.explode("w").alias("term")).groupBy("doc_id", "chunk_id", "dl", "n_chunks", "avg_dl", "term").agg(F.count("*").alias("tf"))
     df = F.count("*").over(W.partitionBy("doc_id", "term"))
-    return tf.withColumn("df", df).join(doc, "doc_id").select("doc_id", "chunk_id", "term", "tf", "dl", "n_chunks", "avg_dl", "df")
+    return tf.withColumn("df", df).select("doc_id", "chunk_id", "term", "tf", "dl", "n_chunks", "avg_dl", "df")
 
 
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:

@@ -62,6 +62,13 @@ def test_features_are_counted_within_their_row(spark, tmp_path):
     assert physical.count("Exchange hashpartitioning") == 1
 
 
+def test_terms_move_once(spark, tmp_path):
+    got, want = held(spark, tmp_path, "bm25_term_stats", documents=("doc_id long, text string", [*enumerate(TEXTS), (4, "hand 12")]))
+    assert got == want and want
+    _, physical = plan(q.QUERIES["bm25_term_stats"](spark, str(tmp_path)))
+    assert physical.count("Exchange hashpartitioning") == 1
+
+
 def test_fingerprints_are_made_once(spark, tmp_path):
     got, want = held(spark, tmp_path, "dup_components", documents=("doc_id long, text string", list(enumerate(TEXTS[2:] * 2))))
     assert got == want and want
