@@ -136,7 +136,9 @@ fu AS (SELECT *, round(CASE WHEN bx > bn THEN 0.5 * (b - bn) / (bx - bn) ELSE 0
 SELECT doc_id, skill, k, chunk_id::BIGINT AS chunk_id, fused FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, skill ORDER BY fused DESC, chunk_id) AS k FROM fu) WHERE k <= 3 AND fused > 0""")
 def hybrid_fusion_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     sk = _skills(spark)
-    fused = retrieval.fuse(retrieval.line_chunks(read(spark, sf_dir, "documents")), F.broadcast(retrieval.query_terms(sk)), sk).withColumn("fused", r6("fused"))
+    fused = retrieval.fuse(retrieval.line_chunks(read(spark, sf_dir, "documents")), F.broadcast(retrieval.query_terms(sk)), sk)
+    # a share like 45/128 ends on a half: by the product, as the SQL rounds, not by the digits of a sum just below it
+    fused = fused.withColumn("fused", F.floor(F.col("fused") * 1e6 + 0.5) / 1e6)
     return retrieval.top_chunks(fused, "fused", 3).select("doc_id", "skill", F.col("k").cast("long").alias("k"), F.col("chunk_id").cast("long").alias("chunk_id"), "fused")
 
 

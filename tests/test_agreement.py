@@ -73,3 +73,9 @@ def test_fingerprints_are_made_once(spark, tmp_path):
     got, want = held(spark, tmp_path, "dup_components", documents=("doc_id long, text string", list(enumerate(TEXTS[2:] * 2))))
     assert got == want and want
     assert "ArrowEvalPython" not in plan(q.QUERIES["dup_components"](spark, str(tmp_path)))[0]
+
+
+def test_fusion_joins_nothing(spark, tmp_path):
+    got, want = held(spark, tmp_path, "hybrid_fusion_topk", documents=("doc_id long, text string", list(enumerate(TEXTS * 3))))
+    assert got == want and want
+    assert "Join" not in plan(q.QUERIES["hybrid_fusion_topk"](spark, str(tmp_path)))[0]
