@@ -156,8 +156,9 @@ def merge_paragraphs(blocks: DataFrame) -> DataFrame:
     tall = F.array_sort(F.filter(F.transform("_b", lambda b: b["y1"] - b["y0"]), lambda h: h > 0))
     typical = F.coalesce(F.get(tall, F.floor(F.size(tall) / 2).cast("int")), F.lit(12.0))
     d = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("_b")).withColumn("_gap", GAP * typical)
-    block = "struct<" + ",".join(f"{c}:{kinds[c]}" for c in ("ord", *fields)) + ">"
-    none = F.array().cast(f"array<{block}>")
+    # what a block is compared with: of the merged one its left edge, its end and its first block's size
+    kept = ["page", "col", "x0", "y1", "font_size", "in_table"]
+    state = "struct<" + ",".join(f"{c}:{kinds[c]}" for c in kept) + ",n:int,at:array<int>>"
 
     def follows(p: Column, b: Column) -> Column:
         sizes = p["font_size"].isNull() | b["font_size"].isNull() | (F.abs(p["font_size"] - b["font_size"]) <= SAME_SIZE * F.greatest(p["font_size"], b["font_size"]))
@@ -165,20 +166,23 @@ def merge_paragraphs(blocks: DataFrame) -> DataFrame:
         place = (p["page"] == b["page"]) & (p["col"] == b["col"]) & (p["in_table"] == b["in_table"]) & (F.abs(p["x0"] - b["x0"]) <= SAME_LEFT)
         return F.coalesce(place & sizes & ~F.coalesce(b["is_heading"], F.lit(False)) & (gap >= 0) & (gap <= F.col("_gap")), F.lit(False))
 
-    def joined(p: Column, b: Column) -> Column:
-        new = {c: p[c] for c in ("ord", *fields)}
-        new |= {"text": F.concat(p["text"], F.lit("\n"), b["text"]), "x0": F.least(p["x0"], b["x0"]), "x1": F.greatest(p["x1"], b["x1"]), "y1": b["y1"]}
-        if "confidence" in new:
-            new["confidence"] = F.when(p["confidence"].isNotNull() & b["confidence"].isNotNull(), F.bround((p["confidence"] + b["confidence"]) / 2, 2)).otherwise(p["confidence"])
-        return F.struct(*[new[c].cast(kinds[c]).alias(c) for c in ("ord", *fields)])
-
-    def step(done: Column, b: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        more = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined(last, b)))
-        return F.when((F.size(done) > 0) & follows(last, b), more).otherwise(F.concat(done, F.array(b)))
-
-    out = d.select("doc_id", F.posexplode(F.aggregate("_b", none, step)).alias("_n", "_p"))
-    return out.select("doc_id", "_p.page", F.col("_n").alias("ord"), *[F.col(f"_p.{c}").alias(c) for c in fields[1:]])
+    def step(p: Column, b: Column) -> Column:
+        n = lambda more: [(p["n"] + more).alias("n"), F.concat(p["at"], F.array(p["n"] + more)).alias("at")]
+        own = {"x0": F.least(p["x0"], b["x0"]), "y1": b["y1"]}
+        same = F.struct(*[own.get(c, p[c]).cast(kinds[c]).alias(c) for c in kept], *n(0)).cast(state)
+        return F.when((p["n"] > 0) & follows(p, b), same).otherwise(F.struct(*[b[c].alias(c) for c in kept], *n(1)).cast(state))
+
+    start = F.struct(*[F.lit(None).cast(kinds[c]).alias(c) for c in kept], F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")).cast(state)
+    # the fold only numbers the blocks; their texts are joined once, as growing ones would be copied at each step
+    each = d.select("doc_id", F.inline(F.arrays_zip(F.aggregate("_b", start, step)["at"].alias("_n"), F.col("_b").alias("_p"))))
+    first = lambda c: F.min_by(F.col(f"_p.{c}"), "_p.ord")
+    out = {c: first(c) for c in fields} | {"x0": F.min("_p.x0"), "x1": F.max("_p.x1"), "y1": F.max_by("_p.y1", "_p.ord")}
+    out["text"] = F.when(F.count("*") == 1, F.first("_p.text")).when(F.count("_p.text") == F.count("*"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p.ord", "_p.text"))), lambda x: x["text"]), "\n"))
+    if "confidence" in fields:
+        mean = lambda s, c: F.when(s.isNotNull() & c.isNotNull(), F.bround((s + c) / 2, 2)).otherwise(s)
+        all_c = F.transform(F.array_sort(F.collect_list(F.struct("_p.ord", F.col("_p.confidence").cast("double").alias("c")))), lambda x: x["c"])
+        out["confidence"] = F.aggregate(F.slice(all_c, F.lit(2), F.greatest(F.size(all_c) - 1, F.lit(0))), all_c[0], mean)
+    return each.groupBy("doc_id", (F.col("_n") - 1).alias("ord")).agg(*[out[c].alias(c) for c in fields]).select("doc_id", "page", "ord", *fields[1:])
 
 
 def cluster_lines(words: DataFrame) -> DataFrame:

@@ -79,3 +79,10 @@ def test_fusion_joins_nothing(spark, tmp_path):
     got, want = held(spark, tmp_path, "hybrid_fusion_topk", documents=("doc_id long, text string", list(enumerate(TEXTS * 3))))
     assert got == want and want
     assert "Join" not in plan(q.QUERIES["hybrid_fusion_topk"](spark, str(tmp_path)))[0]
+
+
+def test_a_long_paragraph_is_joined_once(spark, tmp_path):
+    """Lines by the thousand in one paragraph; the fold holds numbers, not the text that grows."""
+    text = "\n".join(f"line {i} of a long paragraph" for i in range(3000))
+    got, want = held(spark, tmp_path, "extract_documents", documents=("doc_id long, text string", [(1, text), (2, "a\n\nb"), (7, "c")]))
+    assert got == want
